@@ -12,9 +12,11 @@ documents, so neither a task nor a reader holds more than one shard. A file writ
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
@@ -27,10 +29,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .bpe import MEMORY, SLICE_CHARS, load, slices
+from .bpe import MEMORY, SLICE_CHARS, byte_letters, load, slices
 from .common import shared_dir
 
 SHARD_IDS, SHARD_DOCS = 1_000_000, 50_000
+#: Fixed pattern of the tokenizers whose plain words take the short way, and what it comes to on those: lower case, no combining marks.
+PIECES = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+PLAIN = re.compile("[!-~\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
+PLAIN_TEXT = re.compile("[ \t-\r!-~\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
+PLAIN_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^ \t-\ra-z0-9\xdf-\xf6\xf8-\xff]+")
 #: Mean number of keys in a bucket of the hash.
 BUCKET = 4
 ODD_BLANKS = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -124,8 +131,24 @@ class Shard:
         return np.frombuffer(self.raw(row), "<u4")
 
 
+class Known(dict):
+    """Ids by word; a word that isn't known yet is encoded when it is asked for."""
+
+    def __init__(self, encode) -> None:
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self[word] = self.encode(word)
+        return ids
+
+
 class WordCache:
-    """Ids by the tokenizers library; where white space ends every token, word by word with a bounded memory of words."""
+    """Ids by the tokenizers library; where white space ends every token, word by word with a bounded memory of words.
+
+    Words of plain letters of a tokenizer in the one form below go straight to the library's model, split as its file says; all others, and
+    all of other tokenizers, take the whole way through the library.
+    """
 
     def __init__(self, content: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -135,24 +158,43 @@ class WordCache:
         whole = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
         #: Holds only if the tokenizer drops white space wherever it stands.
         self.by_word = all(whole(f"a{s}Be,") == whole("a") + whole("Be,") == whole(f"{s}a{s}{s}Be,{s}") for s in " \t\n\x0b\x0c\r")
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        spec = json.loads(content)
+        steps = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+        splits = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+        self.plain = self.by_word and steps == ["NFC", "Replace", "Lowercase"] and splits[0].get("pattern", {}).get("Regex") == PIECES and [x.get("type") for x in splits] == ["Split", "ByteLevel"]
+        self.special = [x["content"] for x in spec.get("added_tokens", [])]
+        self.plain &= all(x.startswith("<|") for x in self.special)
+        self.model = self.tokenizer.model
+        self.letters = str.maketrans({chr(b): c for b, c in enumerate(byte_letters())})
+        self.pieces, self.words = Known(self._piece), Known(self._word)
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        if self.plain and PLAIN.fullmatch(word) and not ("<|" in word and any(x in word for x in self.special)):
+            return b"".join(map(self.pieces.__getitem__, PLAIN_PIECES.findall(word.lower())))
+        return self._whole(word)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
-            return self._encode(texts)
-        words = [BLANKS.split(x) if ODD_BLANKS.search(x) else x.split() for x in texts]
-        known = self.known
-        new = list({w for own in words for w in own if w not in known})
-        if len(known) + len(new) > MEMORY:
-            known.clear()
-            new = list({w for own in words for w in own})
-        known.update(zip(new, self._encode(new), strict=True))
-        out = [b"".join([known[w] for w in own]) for own in words]
-        if len(known) > MEMORY:
-            known.clear()
+            return [self._whole(x) for x in texts]
+        out = []
+        piece = self.pieces.__getitem__
+        for x in texts:
+            if self.plain and PLAIN_TEXT.fullmatch(x) and not ("<|" in x and any(s in x for s in self.special)):
+                out.append(b"".join(map(piece, PLAIN_PIECES.findall(x.lower()))))
+            else:
+                out.append(b"".join(map(self.words.__getitem__, BLANKS.split(x) if ODD_BLANKS.search(x) else x.split())))
+            if len(self.words) > MEMORY:
+                self.words.clear()
+            if len(self.pieces) > MEMORY:
+                self.pieces.clear()
         return out
 
 
