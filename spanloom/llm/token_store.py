@@ -39,7 +39,9 @@ PLAIN = re.compile("[!-~\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
 PLAIN_TEXT = re.compile("[ \t-\r!-~\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
 PLAIN_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^ \t-\ra-z0-9\xdf-\xf6\xf8-\xff]+")
 #: Mean number of keys in a bucket of the hash.
-BUCKET = 4
+BUCKET = 2
+#: Seeds that are tried at a time.
+TRIES = 32
 ODD_BLANKS = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 BLANKS = re.compile("[ \t-\r]+")
 SCHEMA = T.StructType(
@@ -59,10 +61,10 @@ SCHEMA = T.StructType(
 SLOT = np.dtype([("print", "<u4"), ("row", "<u4"), ("rows", "<u4")])
 
 
-def mixed(keys: np.ndarray, seed: int) -> np.ndarray:
-    """64 well-mixed bits of each key under a seed."""
+def mixed(keys: np.ndarray, seed: int | np.ndarray) -> np.ndarray:
+    """64 well-mixed bits of each key under a seed (a column of seeds: a row each)."""
     with np.errstate(over="ignore"):
-        x = keys.astype(np.uint64) + np.uint64((seed * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & (2**64 - 1))
+        x = keys.astype(np.uint64) + np.asarray(seed, dtype=np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019)
         for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
             x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
         return x ^ (x >> np.uint64(31))
@@ -85,13 +87,15 @@ def build_index(keys: np.ndarray, rows: np.ndarray, counts: np.ndarray) -> tuple
         own = order[edges[b] : edges[b + 1]]
         if len(own) < 2:
             break
-        seed = 1
+        tried = np.arange(1, TRIES + 1)
         while True:
-            at = (mixed(keys[own], seed) % np.uint64(n)).astype(np.int64)
-            if free[at].all() and len(set(at.tolist())) == len(at):
+            at = (mixed(keys[own], tried[:, None]) % np.uint64(n)).astype(np.int64)
+            good = np.flatnonzero(free[at].all(axis=1) & (np.diff(np.sort(at, axis=1), axis=1) > 0).all(axis=1))
+            if len(good):
                 break
-            seed += 1
-        seeds[b], place[own], free[at] = seed, at, False
+            tried += TRIES
+        at = at[good[0]]
+        seeds[b], place[own], free[at] = tried[good[0]], at, False
     left = iter(np.flatnonzero(free).tolist())
     for b in np.flatnonzero(sizes == 1):
         slot = next(left)
