@@ -7,8 +7,8 @@
 3. Of each pair, signatures are compared batch by batch; after each batch the posterior of the similarity (uniform prior) is known, and
    a pair goes once the chance that it reaches the threshold is under MISS. What survives is confirmed on the full sets.
 4. The links found so far give components. Inside a bucket that still holds several, members of different components are compared
-   in the same way, block by block, so that no link is lost between documents that differ from the bucket's least one.
-   Pairs that would join what is joined already are never made.
+   in the same way, block by block and with their sets at hand, so that no link is lost between documents that differ from the bucket's
+   least one. Pairs inside a component are never compared, and none but the links that join components leave the bucket.
 
 A pair at the threshold shares no band with a chance under 1e-7 at 0.85 and 4e-6 at 0.8. Texts are read twice: for the signatures and, of
 bucket members only, for the sets.
@@ -17,6 +17,7 @@ bucket members only, for the sets.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 from math import comb
 
 import numpy as np
@@ -34,8 +35,8 @@ BANDS, ROWS, BATCH = 32, 5, 32
 SIZE = BANDS * ROWS
 #: Chance of a pair at the threshold to be given up after any one batch.
 MISS = 1e-7
-#: Buckets beyond this size are compared in pairs of blocks of this size.
-BLOCK = 2048
+#: Buckets whose sets hold more shingles together than this are compared in pairs of blocks of about this size.
+BLOCK = 1_000_000
 _RNG = np.random.default_rng(20240229)
 FACTORS = (_RNG.integers(0, 2**63, SIZE, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -178,52 +179,70 @@ def bayes_pairs(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def bucket_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Surviving pairs of different components inside the buckets of ``rows``, which lie together sorted by ``bucket, i, j``."""
+def bucket_links(rows: DataFrame, percent: int) -> DataFrame:
+    """Links ``a, b`` between different components inside the buckets of ``rows``, which lie together sorted by ``bucket, i, j``.
+
+    A group holds one block of a bucket, or two to be compared with each other. Pairs that survive the batches are confirmed on their
+    full sets at once, and a link is returned only if it joins what the group's links haven't joined yet, so a group gives fewer links than
+    it has members.
+    """
     least = least_matches(percent)
 
-    def pairs(docs: np.ndarray, labels: np.ndarray, blocks: np.ndarray, leaders: np.ndarray, signed: np.ndarray, i: int, j: int) -> list[np.ndarray]:
-        left, right = np.flatnonzero(blocks == i), np.flatnonzero(blocks == j)
+    def links(t: pa.Table) -> list[tuple[int, int]]:
+        docs, labels, blocks, leaders = (t.column(c).to_numpy() for c in ("doc", "label", "block", "leader"))
+        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        signed = _matrix(t.column("signature").combine_chunks())
+        lists = t.column("shingles").combine_chunks()
+        sizes = lists.value_lengths().to_numpy()
+        flat = lists.flatten().to_numpy()
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        local = np.unique(flat, return_inverse=True)[1]
+        mark = np.zeros(len(flat) + 1, dtype=bool)
+        roots = np.unique(labels, return_inverse=True)[1]
+        right = np.flatnonzero((blocks == j) & (docs != leaders))
         found = []
-        for x in left:
-            if docs[x] == leaders[x]:
+        for x in np.flatnonzero((blocks == i) & (docs != leaders)):
+            y = right[roots[right] != roots[x]]
+            if i == j:
+                y = y[y > x]
+            if not len(y):
                 continue
-            y = right[(labels[right] != labels[x]) & (docs[right] != leaders[right]) & ((docs[right] > docs[x]) if i == j else True)]
-            if len(y) and len(kept := _survive(signed[y], signed[x : x + 1], least)):
-                other = docs[y[kept]]
-                found.append(np.stack([np.minimum(other, docs[x]), np.maximum(other, docs[x])]))
+            y = y[_survive(signed[y], signed[x : x + 1], least)]
+            if not len(y):
+                continue
+            own = local[starts[x] : starts[x + 1]]
+            mark[own] = True
+            spans = np.repeat(starts[y] - np.concatenate([[0], np.cumsum(sizes[y])[:-1]]), sizes[y]) + np.arange(sizes[y].sum())
+            common = np.add.reduceat(mark[local[spans]].astype(np.int64), np.concatenate([[0], np.cumsum(sizes[y])[:-1]]))
+            mark[own] = False
+            for other in y[100 * common >= percent * (sizes[x] + sizes[y] - common)]:
+                if roots[other] != roots[x]:
+                    roots[roots == roots[other]] = roots[x]
+                    found.append((int(min(docs[x], docs[other])), int(max(docs[x], docs[other]))))
         return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-
-        def done(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            cols = {c: t.column(c).to_numpy() for c in ("bucket", "i", "j", "block", "doc", "label", "leader")}
-            signed = _matrix(t.column("signature").combine_chunks())
-            same = (np.diff(cols["bucket"]) != 0) | (np.diff(cols["i"]) != 0) | (np.diff(cols["j"]) != 0)
-            edges = np.concatenate([[0], np.flatnonzero(same) + 1, [t.num_rows]])
-            found = []
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                own = slice(a, b)
-                found += pairs(cols["doc"][own], cols["label"][own], cols["block"][own], cols["leader"][own], signed[own], cols["i"][a], cols["j"][a])
-            if found:
-                both = np.unique(np.concatenate(found, axis=1), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+        held: list[pa.Table] = []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if found := links(pa.concat_tables(held)):
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+            held.clear()
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             t = pa.Table.from_batches([batch])
-            held = t if held is None else pa.concat_tables([held, t])
-            last = np.stack([held.column(c).to_numpy() for c in ("bucket", "i", "j")])
-            open_from = held.num_rows - int(np.argmax((last != last[:, -1:]).any(axis=0)[::-1])) if (last != last[:, -1:]).any() else 0
-            if open_from:
-                yield from done(held.slice(0, open_from))
-                held = held.slice(open_from)
-        if held is not None and held.num_rows:
-            yield from done(held)
+            keys = np.stack([t.column(c).to_numpy() for c in ("bucket", "i", "j")])
+            edges = [0, *(np.flatnonzero((np.diff(keys) != 0).any(axis=0)) + 1).tolist(), t.num_rows]
+            for a, b in pairwise(edges):
+                if held and any(held[0].column(c)[0].as_py() != keys[k][a] for k, c in enumerate(("bucket", "i", "j"))):
+                    yield from done()
+                held.append(t.slice(a, b - a))
+        if held:
+            yield from done()
 
-    return rows.select("bucket", "i", "j", "block", "doc", "label", "leader", "signature").mapInArrow(run, "a long, b long")
+    return rows.select("bucket", "i", "j", "block", "doc", "label", "leader", "signature", "shingles").mapInArrow(run, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -245,11 +264,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, key:
     copies = staged(full.groupBy("f1", "f2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most"), "copies")
     classed = full.select("doc", "f1", "f2").join(copies, ["f1", "f2"], "left")
     members = staged(classed.where("least < doc").select("doc", "least"), "members")
-    alone = full.join(members.select("doc"), "doc", "left_anti").select("doc", "signature", "bands")
+    alone = full.join(members.select("doc"), "doc", "left_anti").select("doc", "n_shingles", "signature", "bands")
 
-    banded = alone.select("doc", F.explode("bands").alias("bucket"))
-    buckets = banded.groupBy("bucket").agg(F.min("doc").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    met = staged(banded.join(buckets, "bucket"), "buckets")
+    banded = alone.select("doc", "n_shingles", F.explode("bands").alias("bucket"))
+    buckets = banded.groupBy("bucket").agg(F.min("doc").alias("leader"), F.count("*").alias("n"), F.sum("n_shingles").alias("size")).where("n > 1")
+    met = staged(banded.drop("n_shingles").join(buckets, "bucket"), "buckets")
     met_docs = met.select("doc").distinct()
     signs = staged(alone.select("doc", "signature").join(met_docs, "doc", "left_semi"), "signs")
     own = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
@@ -263,10 +282,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, key:
     larger = met.where("n > 2").join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
     larger = staged(larger, "larger")
     open_buckets = larger.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l < m").select("bucket")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     dealt = (
         larger.join(open_buckets, "bucket", "left_semi")
         .join(signs, "doc")
+        .join(sets, "doc")
         .withColumn("block", F.pmod(F.xxhash64("doc"), blocks).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         .withColumn("i", F.least("block", "other"))
@@ -274,8 +294,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, key:
         .repartition("bucket", "i", "j")
         .sortWithinPartitions("bucket", "i", "j", "doc")
     )
-    rest = bucket_pairs(dealt, percent).distinct()
-    more = staged(confirmed(rest, sets, percent), "links")
+    more = staged(bucket_links(dealt, percent).distinct(), "links")
     labels = components(links.union(more).union(members.select(F.col("doc").alias("a"), F.col("least").alias("b"))))
 
     out = signed.select("doc", "n_shingles").join(labels.withColumnRenamed("node", "doc"), "doc", "left")
