@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -138,24 +141,23 @@ class TextFeatures:
         for r in rows.select(index).join(F.broadcast(words), "term").groupBy("term").agg(F.count("*").alias("n")).toLocalIterator():
             if r.term in kept:
                 df[kept[r.term]] = r.n
-        import math
-
         return cls(model, [math.log((1 + n) / (1 + d)) + 1 for d in df], ngrams, stop)
 
-    def transform(self, rows: DataFrame, out: str = "text_features") -> DataFrame:
-        import numpy as np
-        from pyspark.ml.linalg import SparseVector, VectorUDT
-
+    def transform(self, rows: DataFrame, out: str = "features", beside: tuple[str, ...] = ()) -> DataFrame:
+        """``rows`` with the weighted vector, and the columns ``beside`` (of numbers) behind it in the same vector."""
         idf = rows.sparkSession.sparkContext.broadcast(np.array(self.idf))
 
         @F.udf(VectorUDT())
-        def weigh(v):  # noqa: ANN001, ANN202  the vector type has no Arrow form
-            w = (1 + np.log(v.values)) * idf.value[v.indices] if len(v.indices) else v.values
+        def weigh(tf, more):  # noqa: ANN001, ANN202  the vector type has no Arrow form
+            w = (1 + np.log(tf.values)) * idf.value[tf.indices] if len(tf.indices) else tf.values
             length = float(np.sqrt((w * w).sum())) or 1.0
-            return SparseVector(v.size, v.indices, w / length)
+            other = np.array(more, dtype=float)
+            full = np.flatnonzero(other)
+            return SparseVector(tf.size + len(other), np.concatenate([tf.indices, tf.size + full]), np.concatenate([w / length, other[full]]))
 
         counted = self.model.transform(rows.withColumn("terms", self.terms(self.ngrams, self.stop)))
-        return counted.withColumn(out, weigh("tf")).drop("terms", "tf")
+        extra = F.array(*[F.col(c).cast("double") for c in beside]) if beside else F.array().cast("array<double>")
+        return counted.withColumn(out, weigh("tf", extra)).drop("terms", "tf")
 
 
 def similarity(features: DataFrame, definitions: DataFrame, out: str = "similarity") -> DataFrame:
@@ -248,14 +250,11 @@ LADDER: tuple[tuple[str, dict], ...] = (
 def assemble(parts: dict[str, DataFrame], step: Step) -> dict[str, DataFrame]:
     """The feature column of a step for all parts; vocabulary, idf and ranges come from the training part alone."""
     text = TextFeatures.fit(parts["train"], step.ngrams)
-    out = {k: text.transform(v) for k, v in parts.items()}
     if not step.structural:
-        return {k: v.withColumnRenamed("text_features", "features") for k, v in out.items()}
-    out = {k: structural(v) for k, v in out.items()}
-    ranges = fit_ranges(out["train"])
-    ready = {k: scaled(v, ranges).withColumn("__structural", array_to_vector(F.array(*STRUCTURAL))) for k, v in out.items()}
-    join = VectorAssembler(inputCols=["text_features", "__structural"], outputCol="features")
-    return {k: join.transform(v).drop("__structural") for k, v in ready.items()}
+        return {k: text.transform(v) for k, v in parts.items()}
+    own = {k: structural(v) for k, v in parts.items()}
+    ranges = fit_ranges(own["train"])
+    return {k: text.transform(scaled(v, ranges), beside=STRUCTURAL) for k, v in own.items()}
 
 
 def run_step(parts: dict[str, DataFrame], step: Step, categories: list[str]) -> dict:
