@@ -106,19 +106,21 @@ class Backend:
         return {"text": text.strip(), "latency_ms": int(1000 * (time.monotonic() - began)), "error": error}
 
 
-_CALLS: dict[str, tuple[str, Callable[[str, str | None], str]]] = {}
+_CLIENTS: dict[str, tuple[str, Callable[..., Callable[[str, str | None], str]]]] = {}
 
 
-def register_backend(name: str, default_model: str, call: Callable[[str, str | None], str]) -> None:
-    """Make a client known under one of the names in CLOUD and LOCAL, or another one."""
-    _CALLS[name] = (default_model, call)
+def register_backend(name: str, default_model: str, client: Callable[..., Callable[[str, str | None], str]]) -> None:
+    """Make a backend known: ``client(model, temperature, max_tokens, **extra)`` returns its call."""
+    _CLIENTS[name] = (default_model, client)
 
 
-def build_backend(name: str, model: str | None = None, **settings) -> Backend:  # noqa: ANN003
-    if name not in _CALLS:
-        raise ValueError(f"unknown backend {name!r}; known: {sorted(_CALLS)}")
-    default, call = _CALLS[name]
-    return Backend(name, model or default, call, **settings)
+def build_backend(name: str, model: str | None = None, temperature: float = TEMPERATURE, max_tokens: int = MAX_TOKENS, extra: dict | None = None, **settings) -> Backend:  # noqa: ANN003
+    """A registered backend (``spanloom.operators.clients`` registers three); a ValueError names those that are known."""
+    if name not in _CLIENTS:
+        raise ValueError(f"unknown backend {name!r}; known: {sorted(_CLIENTS)}")
+    default, client = _CLIENTS[name]
+    call = client(model or default, temperature, max_tokens, **(extra or {}))
+    return Backend(name, model or default, call, temperature, max_tokens, extra=extra or {}, **settings)
 
 
 def default_judge() -> Backend:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions.text import TOKEN, category_of, category_or_start, clean_query, stop_words
-from spanloom.operators import classify, generation, metrics, rank, segment, spans
+from spanloom.operators import classify, embed, extras, generation, metrics, rank, segment, spans
 from spanloom.plans.fixtures import EVAL_SQL, STRUCTURED_SQL, contracts, eval_rows, segments, segments_sql, structured, table
 from spanloom.sources import sinks
 
@@ -694,6 +694,41 @@ def results_merge(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.versus(sinks.read_results(spark, path))
 
 
+# --- optional parts ---------------------------------------------------------------------------------------------------------------
+
+_RULES = [("Opening Clause", "absent", "no opening", 2.0), ("Missing Clause", "absent", "missing", 1.0), ("Split Clause", "present", "split", 0.5)]
+_RULES_SQL = ", ".join(f"('{a}', '{b}', '{c}', {d})" for a, b, c, d in _RULES)
+
+
+@query(f"""WITH {EVAL_SQL}, r(category, flag_if, flag, weight) AS (VALUES {_RULES_SQL}), c AS (SELECT DISTINCT contract_id FROM gold)
+SELECT c.contract_id, count(*) AS n_flags, CAST(sum(r.weight) AS DOUBLE) AS risk FROM c, r WHERE (r.flag_if = 'present') = EXISTS (SELECT 1 FROM gold g WHERE g.contract_id = c.contract_id AND g.category = r.category) GROUP BY 1""")
+def risk_scores(spark: SparkSession, sf: str) -> DataFrame:
+    rules = spark.createDataFrame(_RULES, "category string, flag_if string, flag string, weight double")
+    return extras.risk_scores(extras.risk_flags(spans.gold_rows(eval_rows(spark, sf)), rules))
+
+
+@query("""WITH b AS (SELECT lang, CASE WHEN n_chars >= 4000 THEN 3 WHEN n_chars >= 1000 THEN 2 WHEN n_chars >= 200 THEN 1 ELSE 0 END AS bin FROM documents),
+s AS (SELECT bin, greatest(count(*) FILTER (WHERE lang = 'en') / (SELECT count(*) FROM b WHERE lang = 'en'), 0.0001) AS p, greatest(count(*) FILTER (WHERE lang = 'de') / (SELECT count(*) FROM b WHERE lang = 'de'), 0.0001) AS q FROM b WHERE lang IN ('en', 'de') GROUP BY bin)
+SELECT round(sum((q - p) * ln(q / p)), 6) AS psi FROM s""")
+def input_drift(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("lang", "n_chars")
+    return _rounded(extras.input_drift(docs.where("lang = 'en'"), docs.where("lang = 'de'"), "n_chars", [200.0, 1000.0, 4000.0]))
+
+
+@query("""WITH x AS (SELECT label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings), a AS (SELECT i, avg(v) AS a FROM x WHERE label < 3 GROUP BY i), b AS (SELECT i, avg(v) AS b FROM x WHERE label >= 3 GROUP BY i)
+SELECT round(1 - sum(a * b) / sqrt(sum(a * a) * sum(b * b)), 5) AS centroid_distance FROM a JOIN b USING (i)""")
+def embedding_drift(spark: SparkSession, sf: str) -> DataFrame:
+    own = table(spark, sf, "embeddings").select("label", F.col("embedding").alias("vector"))
+    return extras.embedding_drift(own.where("label < 3"), own.where("label >= 3")).withColumn("centroid_distance", F.round("centroid_distance", 5))
+
+
+@query()
+def embedded_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Index records with vectors of the stand-in encoder."""
+    records = segment.index_records(segment.window_segments(contracts(spark, sf)), segment.windows_for(256))
+    return records.select("record_id", embed.embedded(F.col("window_text")).alias("vector"))
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Windows of all documents, TF-IDF ranking of all questions, span scores, one row of metrics."""
     return score_rollup(spark, sf)
