@@ -18,8 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A small table over all cores: one file of a few MB is one task otherwise. A scan with tasks enough stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("contract_id"), "source", "lang", F.coalesce("text", F.lit("")).alias("context"))
+    return spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").cast("string").alias("contract_id"), "source", "lang", F.coalesce("text", F.lit("")).alias("context"))
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
