@@ -13,6 +13,7 @@ other files are refused. The vocabulary (about 1.5 MB) is read on the driver and
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,10 +32,10 @@ from .common import whole
 #: Fixed pattern of this kind of tokenizer: contractions, words, numbers, marks, white space.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 MAX_FILE_BYTES = 64_000_000
-#: Words whose ids a worker remembers, and pairs whose test it remembers; at the bound the memory starts anew.
-MEMORY = 400_000
+#: Words whose ids a worker remembers, in two generations of half as many; and pairs whose test it remembers, anew at the bound.
+MEMORY, PAIRS = 150_000, 300_000
 #: Code points that a worker takes at a time.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 2_000_000
 FOREVER = 1 << 60
 #: From this code point on, libraries differ on which ones are letters (it came with the Unicode version); the tokenizers library decides.
 DISPUTED = regex.compile("[\u0558-\U0010ffff]")
@@ -97,8 +98,9 @@ class PrefixBpe:
             if i in born and self._whole(i):
                 self.suffixes.add_word(token, (i, len(token)))
         self.suffixes.make_automaton()
-        self.apart: dict[tuple[int, int], bool] = {}
+        self.apart: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _edge(self, token: int, side: int) -> list[tuple[int, int, int]]:
         """The tokens that are at one edge of a token while it is built: token, when it is made, when it is used up."""
@@ -142,11 +144,12 @@ class PrefixBpe:
             if size[end]:
                 continue
             if n < end:
-                pair = (last[end - n], token)
+                before = last[end - n]
+                pair = before << 32 | token
                 if (ok := apart.get(pair)) is None:
-                    if len(apart) >= MEMORY:
+                    if len(apart) >= PAIRS:
                         apart.clear()
-                    ok = apart[pair] = not self._crossed(*pair, FOREVER)
+                    ok = apart[pair] = not self._crossed(before, token, FOREVER)
                 if not ok:
                     continue
             last[end], size[end] = token, n
@@ -167,10 +170,12 @@ class PrefixBpe:
         known = self.known
         for word in self._split(text):
             if (got := known.get(word)) is None:
-                if len(known) >= MEMORY:
-                    known.clear()
-                got = np.array(self.word_ids(word), dtype="<i4").tobytes()
+                if (got := self.older.get(word)) is None:
+                    got = array("i", self.word_ids(word)).tobytes()
                 if len(word) <= 64:
+                    if len(known) >= MEMORY // 2:
+                        self.older, known = known, {}
+                        self.known = known
                     known[word] = got
             out.append(got)
 

@@ -29,10 +29,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .bpe import MEMORY, SLICE_CHARS, byte_letters, load, slices
+from .bpe import SLICE_CHARS, byte_letters, load, slices
 from .common import shared_dir
 
 SHARD_IDS, SHARD_DOCS = 1_000_000, 50_000
+#: Words, and pieces of words, whose ids a worker remembers; at the bound the memory starts anew.
+MEMORY = 400_000
 #: Fixed pattern of the tokenizers whose plain words take the short way, and what it comes to on those: lower case, no combining marks.
 PIECES = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 PLAIN = re.compile("[!-~\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
