@@ -40,14 +40,17 @@ def terms_of(text: Column, ngrams: tuple[int, int] = (1, 1), analyzer: str = "wo
     return word_ngrams(tokens(text, stop_words() if stop is None else stop), *ngrams)
 
 
-def term_stats(segments: DataFrame, ngrams: tuple[int, int] = (1, 1), analyzer: str = "word", stop: tuple[str, ...] | None = None) -> DataFrame:
+def term_stats(
+    segments: DataFrame, ngrams: tuple[int, int] = (1, 1), analyzer: str = "word", stop: tuple[str, ...] | None = None, places: DataFrame | None = None
+) -> DataFrame:
     """Rows ``contract_id, position, term, tf, df, n``: counts in the segment, segments of the contract with the term, segments of the contract.
 
-    Terms are counted once; the number of segments with a term is a window over those counts.
+    Terms are counted once; the number of segments with a term is a window over those counts. ``places`` has the segments without their
+    texts, if they are at hand.
     """
     terms = segments.select("contract_id", "position", F.explode(terms_of(F.col("text"), ngrams, analyzer, stop)).alias("term"))
     counts = terms.groupBy("contract_id", "position", "term").agg(F.count("*").alias("tf"))
-    n = segments.groupBy("contract_id").agg(F.count("*").alias("n"))
+    n = (segments if places is None else places).groupBy("contract_id").agg(F.count("*").alias("n"))
     return counts.withColumn("df", F.count("*").over(Window.partitionBy("contract_id", "term"))).join(n, "contract_id")
 
 
@@ -76,11 +79,12 @@ def lexical(
     questions: DataFrame, segments: DataFrame, k: int, ngrams: tuple[int, int] = (1, 1), analyzer: str = "word", stop: tuple[str, ...] | None = None
 ) -> DataFrame:
     """TF-IDF ranking, fitted for each contract; ties, zeros among them, go to later segments; a contract without any term keeps its order."""
-    stats = kept(term_stats(segments, ngrams, analyzer, stop))
+    places = kept(segments.select("contract_id", "position", *SPAN))
+    stats = kept(term_stats(segments, ngrams, analyzer, stop, places))
     pairs = question_weights(questions, stats, ngrams, analyzer, stop).join(tfidf_weights(stats), ["contract_id", "term"])
     scores = pairs.groupBy("query_id", "contract_id", "position").agg(F.sum(F.col("q_weight") * F.col("weight")).alias("score"))
     has_terms = stats.select("contract_id").distinct().withColumn("has_terms", F.lit(True))
-    all_pairs = questions.select("query_id", "contract_id").join(segments.select("contract_id", "position", *SPAN), "contract_id").join(has_terms, "contract_id", "left")
+    all_pairs = questions.select("query_id", "contract_id").join(places, "contract_id").join(has_terms, "contract_id", "left")
     scored = all_pairs.join(scores, ["query_id", "contract_id", "position"], "left").withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), DIGITS))
     later_first = F.when(F.col("has_terms"), -F.col("position")).otherwise(F.col("position"))
     order = Window.partitionBy("query_id", "contract_id").orderBy(F.desc("score"), later_first)
