@@ -39,6 +39,8 @@ OUTSIDE = re.compile(
     r"|comments?|commentlist|disqus\w*|repl(?:y|ies)|discussion|responses?|related\w*|recommend\w*|share|sharing|social\w*|subscribe|newsletter|signup|login|widget\w*|toolbar|pagination|pager|tags|toc|copyright|legal"
     r"|complementary|contentinfo|search|dialog)(?=$|[\s_-])"
 )
+#: A header of the article itself, which holds its title.
+OWN_HEADER = re.compile(r"(?:article|post|entry|story)[_-]header\b")
 INSIDE = re.compile(r"(?:^|[\s_-])(?:article\w*|content|main|post|entry|story|body|text|prose)(?=$|[\s_-])|articlebody")
 #: Terms of the classifier, as log odds of being content.
 PRIOR, IN_ARTICLE, IN_MAIN, MARKED_IN, BOILERPLATE, MARKED_OUT, HEADING, LINKS, LONG, SENTENCE = -0.6, 4.0, 3.0, 1.0, -9.0, -8.0, 0.4, -4.0, 1.2, 0.5
@@ -50,7 +52,7 @@ NOTICE = re.compile(r"(?i)^\s*(?:©|\(c\)|copyright\b)|\ball rights reserved\b|\
 
 
 class Element:
-    __slots__ = ("depth", "hard", "name", "out", "parent", "score", "skip")
+    __slots__ = ("depth", "name", "out", "parent", "score", "skip")
 
     def __init__(self, name: str, attrs: str, parent: Element | None) -> None:
         self.name, self.parent = name, parent
@@ -68,7 +70,7 @@ class Element:
         if name in OUT_ELEMENTS and not (name == "header" and self.score >= IN_ARTICLE):
             self.out, self.score = True, BOILERPLATE
         elif name not in ("body", "html") and words.strip():
-            if OUTSIDE.search(words) and not (name in ("article", "main") and not re.search(r"comment|repl|related", words)):
+            if OUTSIDE.search(OWN_HEADER.sub("", words)) and not (name in ("article", "main") and not re.search(r"comment|repl|related", words)):
                 self.out, self.score = True, MARKED_OUT
             elif not self.out and INSIDE.search(words):
                 self.score = max(self.score, MARKED_IN)
