@@ -33,7 +33,7 @@ from .common import whole
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 MAX_FILE_BYTES = 64_000_000
 #: Words whose ids a worker remembers, in two generations of half as many; and pairs whose test it remembers, anew at the bound.
-MEMORY, PAIRS = 150_000, 300_000
+MEMORY, PAIRS = 300_000, 300_000
 #: Code points that a worker takes at a time.
 SLICE_CHARS = 2_000_000
 FOREVER = 1 << 60
@@ -59,7 +59,7 @@ class PrefixBpe:
             raise ValueError("only byte-level BPE without normalizer and prefix space is supported")
         vocab: dict[str, int] = model["vocab"]
         letters = byte_letters()
-        self.letters = {b: c for b, c in enumerate(letters)}
+        self.letters = dict(enumerate(letters))
         as_byte = {c: b for b, c in enumerate(letters)}
         self.special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
         if any(x.get("lstrip") or x.get("rstrip") or x.get("single_word") or x.get("normalized") for x in spec.get("added_tokens", [])):
@@ -136,7 +136,7 @@ class PrefixBpe:
 
     def word_ids(self, word: str) -> list[int]:
         """Ids of one word of the pattern."""
-        w = "".join(map(self.letters.__getitem__, word.encode()))
+        w = (word if word.isascii() else word.encode().decode("latin-1")).translate(self.letters)
         last, size = [0] * (len(w) + 1), [0] * (len(w) + 1)
         apart = self.apart
         for end, (token, n) in self.suffixes.iter(w):
