@@ -76,13 +76,7 @@ def line_fails(line: Column) -> Column:
     return punctuation | loud | navigation | boilerplate
 
 
-def measured(docs: DataFrame, text: str = "text", max_lost: float = MAX_LOST) -> DataFrame:
-    """``docs`` with one struct column ``quality`` more (one of that name is replaced).
-
-    Fields: ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words`` (the base), ``base_failed``, ``lost_chars`` (characters in
-    words of the lines that fail), ``clean_text`` (the lines that pass, joined by a newline) and ``kept``. A null text counts as empty:
-    no words, so it fails the base. A row's result depends on its text alone, so ties and repeated rows need no rule.
-    """
+def _quality(text: str, max_lost: float) -> Column:
     t = whole(F.col(text))
 
     def of_lines(lines: Column) -> Column:
@@ -94,10 +88,20 @@ def measured(docs: DataFrame, text: str = "text", max_lost: float = MAX_LOST) ->
     def of_words(words: Column) -> Column:
         return F.struct(F.size(words).alias("n"), _repeated(words).alias("repeated"))
 
-    return (
-        docs.withColumn("quality", F.struct(let(words_of(t), of_words).alias("w"), let(F.split(t, "\n", -1), of_lines).alias("l"), chars_in_words(t).alias("c"), F.regexp_count(t, F.lit(SYMBOLS)).alias("s")))
-        .withColumn("quality", _verdict(F.col("quality"), max_lost))
+    raw = F.struct(
+        let(words_of(t), of_words).alias("w"), let(F.split(t, "\n", -1), of_lines).alias("l"), chars_in_words(t).alias("c"), F.regexp_count(t, F.lit(SYMBOLS)).alias("s")
     )
+    return _verdict(raw, max_lost)
+
+
+def measured(docs: DataFrame, text: str = "text", max_lost: float = MAX_LOST) -> DataFrame:
+    """``docs`` with one struct column ``quality`` more (one of that name is replaced).
+
+    Fields: ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words`` (the base), ``base_failed``, ``lost_chars`` (characters in
+    words of the lines that fail), ``clean_text`` (the lines that pass, joined by a newline) and ``kept``. A null text counts as empty:
+    no words, so it fails the base. A row's result depends on its text alone, so ties and repeated rows need no rule.
+    """
+    return docs.withColumn("quality", _quality(text, max_lost))
 
 
 def _verdict(q: Column, max_lost: float) -> Column:
@@ -124,10 +128,12 @@ def _verdict(q: Column, max_lost: float) -> Column:
 
 def cleaned(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars", max_lost: float = MAX_LOST) -> DataFrame:
     """The kept rows with the failed lines gone from ``text``; the columns are those of ``docs``, ``n_chars`` counted anew if there."""
-    kept = measured(docs.withColumnRenamed("quality", "__quality"), text, max_lost).where("quality.kept")
-    new = {text: F.col("quality.clean_text"), "quality": F.col("__quality")}
+    # One expression judges, filters and hands on the text; a filter behind a projection would judge each document twice.
+    passed = F.filter(F.array(_quality(text, max_lost)), lambda q: q["kept"])
+    kept = docs.select("*", F.explode(passed).alias("__quality"))
+    new = {text: F.col("__quality.clean_text")}
     if n_chars in docs.columns:
-        new[n_chars] = F.char_length("quality.clean_text").cast(docs.schema[n_chars].dataType)
+        new[n_chars] = F.char_length("__quality.clean_text").cast(docs.schema[n_chars].dataType)
     return kept.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 
