@@ -33,7 +33,7 @@ from .common import whole
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 MAX_FILE_BYTES = 64_000_000
 #: Words whose ids a worker remembers, in two generations of half as many; and pairs whose test it remembers, anew at the bound.
-MEMORY, PAIRS = 300_000, 300_000
+MEMORY, PAIRS = 150_000, 200_000
 #: Code points that a worker takes at a time.
 SLICE_CHARS = 2_000_000
 FOREVER = 1 << 60
