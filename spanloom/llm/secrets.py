@@ -30,7 +30,8 @@ KINDS = (
 )
 RANDOM = "random"
 MIN_TOKEN = 20
-TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])"
+#: A value may follow '=' (NAME=value, ?k=value); '=' belongs to a token as padding at its end only.
+TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])"
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Encodings in the order in which they are tried: what a token must look like, and its alphabet. Tokens of letters alone or digits alone fit none.
 ENCODINGS = (

@@ -146,3 +146,12 @@ def test_base_spans_stay_and_are_not_found_twice(spark):
     x = secrets.secrets(docs(spark, [f"token={key} and {key}"])).collect()[0]
     assert [s.kind for s in x.spans] == ["assign", "random"] and [s.kind for s in x.base] == ["assign"]
     assert hashlib.sha256(b"assign:0:33").hexdigest() and x.base[0].end == 6 + len(key)
+
+
+def test_random_tokens_behind_an_equals_sign(spark):
+    r = random.Random(8)
+    key = lambda n: "".join(r.choice(secrets.ENCODINGS[5][1]) for _ in range(n))
+    long, short, padded = key(40), key(26), key(26) + "=="
+    texts = [f"AWS_SECRET_ACCESS_KEY={long}\n", f"https://x.org/f?a=1&sig={short}&b=2", f"AccountName=x;AccountKey={padded};EndpointSuffix=y", f'export NAME="{long}"', f"a_name_longer_than_twenty_letters={short}"]
+    found = {x.doc_id: [texts[x.doc_id][s.start : s.end] for s in x.spans] for x in secrets.secrets(docs(spark, texts)).collect()}
+    assert found == {0: [long], 1: [short], 2: [padded], 3: [long], 4: [short]}
