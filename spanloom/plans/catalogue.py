@@ -147,7 +147,7 @@ placed AS (SELECT *, CAST(sum(length(text)) OVER (PARTITION BY contract_id ORDER
 SELECT contract_id, position, CAST(end_char - length(text) AS INTEGER) AS start_char, end_char, header, length(text) < 175 AS is_undersized,
   md5({_EMBED.format(h='header')}) AS embedding_md5 FROM placed""")
 def header_split(spark: SparkSession, sf: str) -> DataFrame:
-    own = structured(spark, sf).where(F.pmod(F.col("contract_id").cast("long"), F.lit(3)) == 0)
+    own = structured(spark, sf, 150).where(F.pmod(F.col("contract_id").cast("long"), F.lit(3)) == 0)
     rows = segment.with_context(segment.header_pieces(own, "article"))
     return rows.select("contract_id", "position", "start_char", "end_char", "header", "is_undersized", F.md5("embedding_text").alias("embedding_md5"))
 

@@ -97,8 +97,12 @@ ev AS (
   LEFT JOIN (SELECT contract_id, category, arg_min(gold_text, i) AS gold_text FROM gold GROUP BY ALL) g ON g.contract_id = d.contract_id AND g.category = c.category)"""
 
 
-def structured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contracts with an opening line and four numbered parts each, in one of three grammars by document."""
+def structured(spark: SparkSession, sf_dir: str, size: int | None = None) -> DataFrame:
+    """Contracts with an opening line and four numbered parts each, in one of three grammars by document.
+
+    The parts are the quarters of the whole text, without line breaks; with ``size`` the first four slices of so many characters, which is
+    what STRUCTURED_SQL cuts (150).
+    """
     flat = F.regexp_replace("context", "[\n\r]+", " ")
     kind = F.pmod(F.col("contract_id").cast("long"), F.lit(3))
 
@@ -110,10 +114,11 @@ def structured(spark: SparkSession, sf_dir: str) -> DataFrame:
             .otherwise(F.lit(f"\n\n{i}.1 {name.title()} Part. "))
         )
 
+    quarter = F.lit(size) if size else F.ceil(F.char_length("flat") / 4).cast("int")
     parts = [F.lit("This agreement opens here.")]
     for i in range(1, 5):
-        parts += [head(i), F.substring(flat, 1 + 150 * (i - 1), 150), F.lit(" end")]
-    return contracts(spark, sf_dir).select("contract_id", F.concat(*parts).alias("context"))
+        parts += [head(i), F.substring(F.col("flat"), 1 + quarter * (i - 1), quarter), F.lit(" end")]
+    return contracts(spark, sf_dir).withColumn("flat", flat).select("contract_id", F.concat(*parts).alias("context"))
 
 
 def _head_sql(i: int) -> str:
