@@ -91,24 +91,38 @@ def split_three_ids(ids: list[str], test: float = TEST, validation: float = VALI
     return train, val, held
 
 
+def _nth(ids: DataFrame, n: int, most: int) -> tuple[int, str | None]:
+    """The n-th of distinct rows (hash, id) in order. The driver sees counts of 65,536 ranges of hashes, then one range, in finer ranges while it has over ``most`` ids."""
+    for shift in (48, 32, 16, 0):
+        part = F.shiftright("hash", shift)
+        for r in ids.groupBy(part.alias("part")).count().orderBy("part").collect():
+            if n <= r["count"]:
+                break
+            n -= r["count"]
+        ids = ids.where(part == r.part)
+        if r["count"] <= most:
+            break
+    return tuple(ids.orderBy("hash", "id").collect()[n - 1])
+
+
 def split_by_contract(rows: DataFrame, test: float = TEST, validation: float = 0.0, seed: int = SEED, max_ids: int = 100_000) -> dict[str, DataFrame]:
     """``train``, ``test`` and, if asked for, ``validation`` parts; all rows of a contract are on one side.
 
-    Up to ``max_ids`` contracts are shuffled on the driver, with the order of Python's generator. Beyond that a hash of the id decides
-    (same shares, no ids on the driver).
+    Contracts are ranked by a hash of seed and id: the first ranks are for the test, the next ones for validation, in the numbers of
+    ``split_ids`` and ``split_three_ids``, and the others for training. The rule is the same at every size; ``max_ids`` bounds only the ids that the
+    driver sees at once.
     """
-    ids = rows.select(F.col("contract_id").cast("string").alias("contract_id")).distinct()
-    found = [r[0] for r in ids.limit(max_ids + 1).collect()]
-    if len(found) > max_ids:
-        share = (F.pmod(F.xxhash64(F.lit(seed), F.col("contract_id").cast("string")), F.lit(1_000_000)) / 1_000_000).alias("share")
-        at = rows.withColumn("__share", share)
-        parts = {"test": at.where(F.col("__share") < test), "validation": at.where(F.col("__share").between(test, test + validation)), "train": at.where(F.col("__share") > test + validation)}
-        return {k: v.drop("__share") for k, v in parts.items() if k != "validation" or validation}
-    names = ("train", "validation", "test") if validation else ("train", "test")
-    sides = split_three_ids(found, test, validation, seed) if validation else split_ids(found, test, seed)
-    where = rows.sparkSession.createDataFrame([(i, n) for n, side in zip(names, sides, strict=True) for i in side], "contract_id string, __side string")
-    marked = rows.join(F.broadcast(where), rows["contract_id"].cast("string") == where["contract_id"]).drop(where["contract_id"])
-    return {n: marked.where(F.col("__side") == n).drop("__side") for n in names}
+    own = F.col("contract_id").cast("string")
+    place = F.struct(F.xxhash64(F.lit(seed), own).alias("hash"), own.alias("id"))
+    ids = rows.select(F.inline(F.array(place))).distinct()
+    n = ids.count()
+    held = min(n, max(1, round(test * n)))
+    ends = {"test": held} | ({"validation": min(n, held + max(1, round(validation / (1 - test) * (n - held))))} if validation else {})
+    side = F.lit("train")
+    for name, end in reversed(ends.items() if n else ()):
+        last, least = _nth(ids, end, max_ids)
+        side = F.when(place <= F.struct(F.lit(last).cast("long").alias("hash"), F.lit(least).cast("string").alias("id")), F.lit(name)).otherwise(side)
+    return {name: rows.where(side == name) for name in ("train", *reversed(ends))}
 
 
 def unaccented(text: Column) -> Column:

@@ -83,3 +83,14 @@ def test_similarity(spark):
     f = spark.createDataFrame([("s1", "law", 0.8), ("s1", "state", 0.6), ("s2", "cat", 1.0)], "id string, term string, weight double")
     d = spark.createDataFrame([("Law", "law", 1.0)], "category string, term string, weight double")
     assert [(r.id, r.category, r.similarity) for r in C.similarity(f, d).collect()] == [("s1", "Law", 0.8)]
+
+
+def test_one_split_rule_at_every_size(spark):
+    rows = spark.range(3000).selectExpr("cast(id as string) as contract_id").union(spark.range(50).selectExpr("cast(id as string)"))
+    for validation in (0.0, C.VALIDATION):
+        want = [len(x) for x in (C.split_three_ids if validation else C.split_ids)([str(i) for i in range(3000)], *([C.TEST, validation] if validation else []))]
+        few, many = ({k: {r[0] for r in v.collect()} for k, v in C.split_by_contract(rows, validation=validation, max_ids=m).items()} for m in (1, 100_000))
+        assert few == many and [len(x) for x in few.values()] == want and len(set().union(*few.values())) == 3000
+    one = C.split_by_contract(rows.where("contract_id = '7'"), validation=C.VALIDATION)
+    assert {k: v.count() for k, v in one.items()} == {"train": 0, "validation": 0, "test": 2}
+    assert [v.count() for v in C.split_by_contract(rows.where("false")).values()] == [0, 0]
