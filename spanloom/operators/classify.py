@@ -143,16 +143,15 @@ class TextFeatures:
         return word_ngrams(tokens(unaccented(F.col("text")), stop), *ngrams)
 
     @classmethod
-    def fit(cls, train: DataFrame, ngrams: tuple[int, int] = (1, 1), min_df: int = MIN_DF, max_df: float = MAX_DF, stop: tuple[str, ...] = (), vocabulary: int = 1 << 18) -> TextFeatures:
+    def fit(cls, train: DataFrame, ngrams: tuple[int, int] = (1, 1), min_df: int = MIN_DF, max_df: float = MAX_DF, stop: tuple[str, ...] = (), vocabulary: int = (1 << 31) - 1) -> TextFeatures:
+        """Every term within ``min_df`` and ``max_df`` is a feature, unless ``vocabulary`` asks for the most frequent ones alone."""
         rows = train.select(cls.terms(ngrams, stop).alias("terms"))
         model = CountVectorizer(inputCol="terms", outputCol="tf", minDF=float(min_df), maxDF=float(max_df), vocabSize=vocabulary).fit(rows)
-        # A number for each term of the vocabulary, which is bounded.
         index = F.explode(F.array_distinct(F.transform("terms", lambda t: t))).alias("term")
         n = rows.count()
         kept = {t: i for i, t in enumerate(model.vocabulary)}
         df = [0] * len(kept)
-        words = train.sparkSession.createDataFrame([(t,) for t in model.vocabulary] or [("",)], "term string")
-        for r in rows.select(index).join(F.broadcast(words), "term").groupBy("term").agg(F.count("*").alias("n")).toLocalIterator():
+        for r in rows.select(index).groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= min_df).toLocalIterator():
             if r.term in kept:
                 df[kept[r.term]] = r.n
         return cls(model, [math.log((1 + n) / (1 + d)) + 1 for d in df], ngrams, stop)

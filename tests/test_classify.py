@@ -94,3 +94,9 @@ def test_one_split_rule_at_every_size(spark):
     one = C.split_by_contract(rows.where("contract_id = '7'"), validation=C.VALIDATION)
     assert {k: v.count() for k, v in one.items()} == {"train": 0, "validation": 0, "test": 2}
     assert [v.count() for v in C.split_by_contract(rows.where("false")).values()] == [0, 0]
+
+
+def test_vocabulary_holds_all_terms_in_range(spark):
+    words = spark.range(0, 3000, 1, 4).selectExpr("array_join(transform(sequence(0, 269), i -> concat('w', (id % 1000) * 270 + i)), ' ') as text")
+    got = C.TextFeatures.fit(words)
+    assert len(got.model.vocabulary) == len(got.idf) == 270_000 > 1 << 18 and set(got.idf) == {math.log(3001 / 4) + 1}
