@@ -11,26 +11,25 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.text import category_of, char_ngrams, clean_query, passage, stop_words, tokens, word_ngrams
 from spanloom.functions.vectors import dot
 from spanloom.operators.spans import overlap
+from spanloom.sources.stage import staged
 
 SPAN = ["start_char", "end_char"]
 # Fusion constant and depth, prior, rerank depth, oversampling.
 RRF, DEPTH = 60, 20
 PRIOR_RATE, PRIOR_LEAD, PRIOR_ROWS = 0.6, 1, 20
 RERANK_DEPTH, OVERSAMPLE = 20, 5
-#: Scores are rounded before they are compared, so that the order of summing can't break a tie.
+#: Distances and model scores are compared at this many digits, which is coarser than what the order of summing changes.
 DIGITS = 9
-
-
-def kept(df: DataFrame) -> DataFrame:
-    """Stored where it is computed, in memory or on disk, because several joins read it; ``spark.catalog.clearCache()`` frees it."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+#: Inverse document frequencies are whole numbers in these units: products and sums of them are exact in any order.
+UNIT = 10**9
+#: Lexical scores that differ by less than this are ties.
+TIE = 1e-12
 
 
 def terms_of(text: Column, ngrams: tuple[int, int] = (1, 1), analyzer: str = "word", stop: tuple[str, ...] | None = None) -> Column:
@@ -65,30 +64,79 @@ def tfidf_weights(stats: DataFrame) -> DataFrame:
     return raw.select("contract_id", "position", "term", (F.col("w") / length).alias("weight"))
 
 
-def question_weights(questions: DataFrame, stats: DataFrame, ngrams: tuple[int, int] = (1, 1), analyzer: str = "word", stop: tuple[str, ...] | None = None) -> DataFrame:
-    """Questions in the term space of their contract; terms that it lacks go before the length is made one."""
-    space = stats.groupBy("contract_id", "term").agg(F.first("df").alias("df"), F.first("n").alias("n"))
-    terms = questions.select("query_id", "contract_id", F.explode(terms_of(F.col("question"), ngrams, analyzer, stop)).alias("term"))
-    counts = terms.groupBy("query_id", "contract_id", "term").agg(F.count("*").alias("tf"))
-    raw = counts.join(space, ["contract_id", "term"]).withColumn("w", F.col("tf") * smooth_idf(F.col("df"), F.col("n")))
-    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("query_id", "contract_id")))
-    return raw.select("query_id", "contract_id", "term", (F.col("w") / length).alias("q_weight"))
+def tokenised(segments: DataFrame, analyzer: str = "word", stop: tuple[str, ...] | None = None) -> DataFrame:
+    """Segments as their words (or texts, for character n-grams), places and number of words, staged: texts are cut once, however many rankings follow."""
+    own = F.coalesce("text", F.lit("")) if analyzer == "char_wb" else terms_of(F.col("text"), (1, 1), analyzer, stop)
+    return staged(segments.select("contract_id", "position", *SPAN, own.alias("words")), "words")
+
+
+def _terms(words: Column, ngrams: tuple[int, int], analyzer: str) -> Column:
+    return char_ngrams(words, *ngrams) if analyzer == "char_wb" else word_ngrams(words, *ngrams)
+
+
+def _exact(a: Column, b: Column) -> Column:
+    return a.cast("decimal(19,0)") * b.cast("decimal(19,0)")
+
+
+def lexical_weights(words: DataFrame, ngrams: tuple[int, int] = (1, 1), analyzer: str = "word") -> DataFrame:
+    """Rows ``contract_id, position, start_char, end_char, term, idf, w, first, length2`` of ``tokenised`` segments.
+
+    ``w`` is the count times ``idf``, a whole number of UNITs; ``length2`` the exact sum of the segment's squares; ``first`` marks one row a term and
+    contract. Everything is a window inside the contract, which is one record at its source, so texts' terms move once.
+    """
+    here, of_term, of_segment = Window.partitionBy("contract_id"), Window.partitionBy("contract_id", "term"), Window.partitionBy("contract_id", "position")
+    sized = words.repartition("contract_id").withColumn("n", F.count("*").over(here))
+    terms = sized.select("contract_id", "position", *SPAN, "n", F.explode(_terms(F.col("words"), ngrams, analyzer)).alias("term"))
+    counts = terms.groupBy("contract_id", "position", *SPAN, "n", "term").agg(F.count("*").alias("tf"))
+    idf = F.floor(smooth_idf(F.count("*").over(of_term), F.col("n")) * UNIT + 0.5)
+    weighed = counts.withColumn("idf", idf).withColumn("first", F.col("position") == F.min("position").over(of_term)).withColumn("w", F.col("tf") * F.col("idf"))
+    return weighed.select("contract_id", "position", *SPAN, "term", "idf", "w", "first", F.sum(_exact(F.col("w"), F.col("w"))).over(of_segment).alias("length2"))
 
 
 def lexical(
-    questions: DataFrame, segments: DataFrame, k: int, ngrams: tuple[int, int] = (1, 1), analyzer: str = "word", stop: tuple[str, ...] | None = None
+    questions: DataFrame,
+    segments: DataFrame,
+    k: int,
+    ngrams: tuple[int, int] = (1, 1),
+    analyzer: str = "word",
+    stop: tuple[str, ...] | None = None,
+    words: DataFrame | None = None,
 ) -> DataFrame:
-    """TF-IDF ranking, fitted for each contract; ties, zeros among them, go to later segments; a contract without any term keeps its order."""
-    places = kept(segments.select("contract_id", "position", *SPAN))
-    stats = kept(term_stats(segments, ngrams, analyzer, stop, places))
-    pairs = question_weights(questions, stats, ngrams, analyzer, stop).join(tfidf_weights(stats), ["contract_id", "term"])
-    scores = pairs.groupBy("query_id", "contract_id", "position").agg(F.sum(F.col("q_weight") * F.col("weight")).alias("score"))
-    has_terms = stats.select("contract_id").distinct().withColumn("has_terms", F.lit(True))
-    all_pairs = questions.select("query_id", "contract_id").join(places, "contract_id").join(has_terms, "contract_id", "left")
-    scored = all_pairs.join(scores, ["query_id", "contract_id", "position"], "left").withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), DIGITS))
-    later_first = F.when(F.col("has_terms"), -F.col("position")).otherwise(F.col("position"))
-    order = Window.partitionBy("query_id", "contract_id").orderBy(F.desc("score"), later_first)
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "contract_id", *SPAN, "score", "rank")
+    """TF-IDF ranking, fitted for each contract; ties, zeros among them, go to later segments; a contract without any term keeps its order.
+
+    Segments that share a term with the question are scored and cut to ``k``; only questions with fewer are filled up from the last ``k`` segments of
+    their contract. Terms of the question that the contract lacks go before its length is made one. Sums are exact, so neither partitions nor
+    their order change a score. ``words`` are the segments as ``tokenised`` gives them, if they are at hand.
+    """
+    words = tokenised(segments, analyzer, stop) if words is None else words
+    asked_words = F.coalesce("question", F.lit("")) if analyzer == "char_wb" else terms_of(F.col("question"), (1, 1), analyzer, stop)
+    asked = questions.select("query_id", "contract_id", F.explode(_terms(asked_words, ngrams, analyzer)).alias("term")).groupBy("query_id", "contract_id", "term").agg(F.count("*").alias("q_tf"))
+    by_query = Window.partitionBy("query_id", "contract_id")
+    pairs = asked.join(lexical_weights(words, ngrams, analyzer), ["contract_id", "term"]).withColumn("q_w", F.col("q_tf") * F.col("idf"))
+    pairs = pairs.withColumn("q_length2", F.sum(F.when(F.col("first"), _exact(F.col("q_w"), F.col("q_w")))).over(by_query))
+    sums = pairs.groupBy("query_id", "contract_id", "position", *SPAN).agg(
+        F.sum(_exact(F.col("q_w"), F.col("w"))).cast("double").alias("both"), (F.sqrt(F.first("q_length2").cast("double")) * F.sqrt(F.first("length2").cast("double"))).alias("lengths")
+    )
+    order = by_query.orderBy(F.desc("level"), F.desc("position"))
+    scored = sums.withColumn("score", F.col("both") / F.col("lengths")).withColumn("level", F.floor(F.col("score") / TIE + 0.5))
+    found = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "contract_id", "position", *SPAN, "score", "rank")
+    found = staged(found, "ranked")
+
+    in_contract = Window.partitionBy("contract_id")
+    ends = words.select("contract_id", "position", *SPAN, _has_terms(words, ngrams, analyzer).alias("has")).withColumn("has", F.max("has").over(in_contract))
+    later_first = F.when(F.col("has"), -F.col("position")).otherwise(F.col("position"))
+    ends = ends.withColumn("place", F.row_number().over(in_contract.orderBy(later_first))).where(F.col("place") <= k).drop("has")
+    few = questions.select("query_id", "contract_id").join(found.where(F.col("rank") == k), ["query_id", "contract_id"], "left_anti")
+    n_found = found.groupBy("query_id", "contract_id").agg(F.max("rank").alias("n_found"))
+    rest = few.join(ends, "contract_id").join(found.select("query_id", "contract_id", "position"), ["query_id", "contract_id", "position"], "left_anti").join(n_found, ["query_id", "contract_id"], "left")
+    rank = (F.coalesce("n_found", F.lit(0)) + F.row_number().over(by_query.orderBy("place"))).cast("int")
+    filled = rest.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("score", F.lit(0.0))
+    columns = ["query_id", "contract_id", *SPAN, "score", "rank"]
+    return found.select(columns).unionByName(filled.select(columns))
+
+
+def _has_terms(words: DataFrame, ngrams: tuple[int, int], analyzer: str) -> Column:
+    return F.size(_terms(F.col("words"), ngrams, analyzer)) > 0 if analyzer == "char_wb" else F.size("words") >= ngrams[0]
 
 
 def dense(query_vectors: DataFrame, records: DataFrame, k: int, oversample: int | None = None) -> DataFrame:
@@ -232,7 +280,8 @@ def variants(
 
     def hybrid(n: int, chars: float = 0.0) -> Retriever:
         def run(q: DataFrame, s: DataFrame, k: int) -> DataFrame:
-            parts = [(words(n)(q, s, DEPTH), 1.0), (vectors(True)(q, s, DEPTH), 1.0)]
+            parts = [(vectors(True)(q, s, DEPTH), 1.0)]
+            parts.insert(0, (words(n)(q, s, DEPTH), 1.0))
             if chars:
                 parts.append((lexical(q, s, DEPTH, (3, 5), "char_wb"), chars))
             return fuse(parts, k)

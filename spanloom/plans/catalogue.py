@@ -259,22 +259,36 @@ def _words_sql(source: str, keys: str, text: str, name: str, bigrams: bool = Fal
 {name} AS (SELECT {keys}, w AS term FROM {name}_k{pairs})"""
 
 
-def _tfidf_sql(bigrams: bool, question: str = "question", name: str = "lex") -> str:
+#: Whole numbers as doubles, rounded once.
+_DOUBLE = "CAST(CAST({} AS VARCHAR) AS DOUBLE)"
+
+
+def _chars_sql(source: str, keys: str, text: str, name: str, bigrams: bool = False) -> str:
+    """Character n-grams of 3 to 5 within words between spaces; a padded word that is shorter stands once for itself."""
+    return f"""
+{name}_w AS (SELECT {keys}, ' ' || unnest(list_filter(regexp_split_to_array(lower({text}), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')) || ' ' AS w FROM {source}),
+{name} AS (SELECT {keys}, w AS term FROM {name}_w WHERE length(w) < 3
+  UNION ALL SELECT {keys}, substr(w, i, k) FROM (SELECT {keys}, w, k, unnest(range(1, length(w) - k + 2)) AS i FROM {name}_w, (VALUES (3), (4), (5)) s(k) WHERE length(w) >= k))"""
+
+
+def _tfidf_sql(bigrams: bool, question: str = "question", name: str = "lex", terms=_words_sql) -> str:  # noqa: ANN001
     """CTE ``<name>``: query_id, contract_id, start_char, end_char, score, position, rank."""
-    return f"""{_words_sql('seg', 'contract_id, position', 'text', name + '_st', bigrams)},
+    return f"""{terms('seg', 'contract_id, position', 'text', name + '_st', bigrams)},
 {name}_tf AS (SELECT contract_id, position, term, count(*) AS tf FROM {name}_st GROUP BY ALL),
 {name}_df AS (SELECT contract_id, term, count(*) AS df FROM {name}_tf GROUP BY ALL),
 {name}_n AS (SELECT contract_id, count(*) AS n FROM seg GROUP BY ALL),
-{name}_raw AS (SELECT t.*, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM {name}_tf t JOIN {name}_df USING (contract_id, term) JOIN {name}_n USING (contract_id)),
-{name}_wt AS (SELECT contract_id, position, term, w / sqrt(sum(w * w) OVER (PARTITION BY contract_id, position)) AS weight FROM {name}_raw),
-{_words_sql('ev', 'query_id, contract_id', question, name + '_qt', bigrams)},
+{name}_raw AS (SELECT t.*, df, tf * (ln((1 + n) / (1 + df)) + 1) AS w, CAST(floor((ln((1 + n) / (1 + df)) + 1) * 1000000000 + 0.5) AS HUGEINT) AS idf FROM {name}_tf t JOIN {name}_df USING (contract_id, term) JOIN {name}_n USING (contract_id)),
+{name}_wt AS (SELECT contract_id, position, term, idf, tf * idf AS v, w / sqrt(sum(w * w) OVER (PARTITION BY contract_id, position)) AS weight FROM {name}_raw),
+{name}_len AS (SELECT contract_id, position, {_DOUBLE.format('sum(v * v)')} AS l2 FROM {name}_wt GROUP BY ALL),
+{terms('ev', 'query_id, contract_id', question, name + '_qt', bigrams)},
 {name}_qtf AS (SELECT query_id, contract_id, term, count(*) AS tf FROM {name}_qt GROUP BY ALL),
-{name}_qraw AS (SELECT q.*, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM {name}_qtf q JOIN {name}_df USING (contract_id, term) JOIN {name}_n USING (contract_id)),
-{name}_qwt AS (SELECT query_id, contract_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY query_id)) AS q_weight FROM {name}_qraw),
-{name}_sc AS (SELECT query_id, contract_id, position, sum(q_weight * weight) AS score FROM {name}_qwt JOIN {name}_wt USING (contract_id, term) GROUP BY ALL),
-{name}_all AS (SELECT e.query_id, s.contract_id, s.start_char, s.end_char, s.position, round(coalesce(c.score, 0), 9) AS score, s.contract_id IN (SELECT contract_id FROM {name}_df) AS has_terms
+{name}_qwt AS (SELECT q.*, q.tf * d.idf AS qv FROM {name}_qtf q JOIN (SELECT contract_id, term, any_value(idf) AS idf FROM {name}_wt GROUP BY ALL) d USING (contract_id, term)),
+{name}_qlen AS (SELECT query_id, {_DOUBLE.format('sum(qv * qv)')} AS l2 FROM {name}_qwt GROUP BY ALL),
+{name}_dot AS (SELECT query_id, contract_id, position, {_DOUBLE.format('sum(qv * v)')} AS dot FROM {name}_qwt JOIN {name}_wt USING (contract_id, term) GROUP BY ALL),
+{name}_sc AS (SELECT d.*, dot / (sqrt(q.l2) * sqrt(s.l2)) AS score FROM {name}_dot d JOIN {name}_qlen q USING (query_id) JOIN {name}_len s USING (contract_id, position)),
+{name}_all AS (SELECT e.query_id, s.contract_id, s.start_char, s.end_char, s.position, coalesce(c.score, 0) AS score, s.contract_id IN (SELECT contract_id FROM {name}_df) AS has_terms
   FROM ev e JOIN seg s USING (contract_id) LEFT JOIN {name}_sc c ON c.query_id = e.query_id AND c.position = s.position),
-{name} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, CASE WHEN has_terms THEN -position ELSE position END) AS rank FROM {name}_all)"""
+{name} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY floor(score / 1e-12 + 0.5) DESC, CASE WHEN has_terms THEN -position ELSE position END) AS rank FROM {name}_all)"""
 
 
 _BASE_SQL = f"WITH RECURSIVE {segments_sql()}, {EVAL_SQL}"
@@ -309,7 +323,7 @@ def tfidf_bigram_topk(spark: SparkSession, sf: str) -> DataFrame:
     return _shown(rank.lexical(eval_rows(spark, sf), segments(spark, sf), K, (1, 2)))
 
 
-@query()
+@query(f"{_BASE_SQL}, {_tfidf_sql(False, terms=_chars_sql)} SELECT {_RANKED} FROM lex WHERE rank <= {K}")
 def char_ngram_topk(spark: SparkSession, sf: str) -> DataFrame:
     return _shown(rank.lexical(eval_rows(spark, sf), segments(spark, sf), K, (3, 5), "char_wb"))
 
@@ -358,7 +372,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, lr
 
 def _two(spark: SparkSession, sf: str, k: int) -> tuple[DataFrame, DataFrame]:
     q, s = eval_rows(spark, sf), segments(spark, sf)
-    return rank.lexical(q, s, k), rank.lexical(q, s, k, (1, 2))
+    words = rank.tokenised(s)
+    return rank.lexical(q, s, k, words=words), rank.lexical(q, s, k, (1, 2), words=words)
 
 
 @query(_fuse_sql(1))
