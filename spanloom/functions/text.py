@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zipfile
+from collections.abc import Callable
 from functools import lru_cache
 from pathlib import Path
 
@@ -52,6 +53,28 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def emitted(items: Column, start: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str, block: int = 256) -> Column:
+    """What ``step(state, item) -> (state, out)`` gives for each item in turn, as an array of ``kind``; the work is linear but for one copy a block.
+
+    A fold that appends to one array copies all that is there for each item. Here items come in blocks, and only a block's own array grows.
+    """
+    none, no_blocks = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
+
+    def add(acc: Column, x: Column) -> Column:
+        at, out = step(acc["at"], x)
+        return F.struct(at.alias("at"), F.concat(acc["out"], F.array(out)).alias("out"))
+
+    def add_block(acc: Column, xs: Column) -> Column:
+        done = F.aggregate(xs, F.struct(acc["at"].alias("at"), none.alias("out")), add)
+        return let(done, lambda d: F.struct(d["at"].alias("at"), F.concat(acc["out"], F.array(d["out"])).alias("out")))
+
+    def walked(own: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(own) - 1) / block).cast("int")), lambda i: F.slice(own, i * block + 1, block))
+        return F.when(F.size(own) == 0, none).otherwise(F.aggregate(blocks, F.struct(start.alias("at"), no_blocks.alias("out")), add_block, lambda acc: F.flatten(acc["out"])))
+
+    return let(items, walked)
+
+
 def tokens(text: Column, stop: tuple[str, ...] = ()) -> Column:
     """Word tokens in lower case and in order, without stop words."""
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.text import TOKEN, category_of, category_or_start, clean_query, stop_words
 from spanloom.operators import classify, embed, extras, generation, metrics, rank, segment, spans
-from spanloom.plans.fixtures import EVAL_SQL, STRUCTURED_SQL, contracts, eval_rows, segments, segments_sql, structured, table
+from spanloom.plans.fixtures import EVAL_SQL, KINDS, STRUCTURED_SQL, contracts, eval_rows, segments, segments_sql, structured, structured_segments_sql, table
 from spanloom.sources import sinks
 
 QUERIES: dict = {}
@@ -129,9 +129,19 @@ def window_counts(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.ingest_stats(own, segment.index_records(own, segment.windows_for(256)))
 
 
-_SCHEME_SQL = """CASE WHEN len(regexp_extract_all(context, '(?i)\\n\\nARTICLE\\s+[IVXLCDM0-9]+\\s+[A-Z][A-Za-z0-9 ,/\\-'']{2,80}?\\n')) >= 3 THEN 'article'
-  WHEN len(regexp_extract_all(context, '(?i)\\n\\nSection\\s+\\d+(?:\\.\\d+){1,3}\\s+[A-Z][A-Za-z0-9 ,/\\-'']{2,60}?\\.\\s')) >= 3 THEN 'section_nn'
-  WHEN len(regexp_extract_all(context, '\\n\\n\\d+(?:\\.\\d+){1,3}\\s+[A-Z][A-Za-z0-9 ,/\\-'']{2,60}?\\.\\s')) >= 3 THEN 'bare_nn' END"""
+_TITLE_SQL = r"[A-Z][A-Za-z0-9 ,/\-'']"
+_SCHEME_SQL = "CASE " + " ".join(
+    f"WHEN len(regexp_extract_all(context, '{p}')) >= 3 THEN '{name}'"
+    for name, p in (
+        ("article", rf"(?i)\n\nARTICLE\s+[IVXLCDM0-9]+\s+{_TITLE_SQL}{{2,80}}?\n"),
+        ("section_nn", rf"(?i)\n\nSection\s+\d+(?:\.\d+){{1,3}}\s+{_TITLE_SQL}{{2,60}}?\.\s"),
+        ("bare_nn", rf"\n\n\d+(?:\.\d+){{1,3}}\s+{_TITLE_SQL}{{2,60}}?\.\s"),
+        ("section_inline", r"(?i)[.\s]SECTION\s+\d+(?:\.\d+)*\b"),
+        ("article_inline", r"(?i)[.\s]ARTICLE\s+[IVXLCDM0-9]+\b"),
+        ("bare_nn_inline", rf"[.\s]\d+(?:\.\d+){{1,3}}\s+{_TITLE_SQL}{{2,60}}?[.:]\s"),
+        ("int_dot_inline", rf"[.\s]\d{{1,2}}\.\s+{_TITLE_SQL}{{2,60}}?[.:]\s"),
+    )
+) + " END"
 
 
 @query(f"WITH {STRUCTURED_SQL} SELECT contract_id, {_SCHEME_SQL} AS scheme FROM structured")
@@ -139,20 +149,20 @@ def scheme_choice(spark: SparkSession, sf: str) -> DataFrame:
     return structured(spark, sf).select("contract_id", segment.scheme_of(F.col("context")).alias("scheme"))
 
 
-@query(f"""WITH {STRUCTURED_SQL},
-parts AS (SELECT contract_id, unnest(string_split(context, chr(10) || chr(10))) AS p, generate_subscripts(string_split(context, chr(10) || chr(10)), 1) - 1 AS position FROM structured WHERE doc_id % 3 = 0),
-own AS (SELECT contract_id, CAST(position AS INTEGER) AS position, CASE WHEN position > 0 THEN chr(10) || chr(10) || p ELSE p END AS text,
-  CASE WHEN position = 0 THEN '[preamble]' ELSE string_split(p, chr(10))[1] END AS header FROM parts),
-placed AS (SELECT *, CAST(sum(length(text)) OVER (PARTITION BY contract_id ORDER BY position) AS INTEGER) AS end_char FROM own)
-SELECT contract_id, position, CAST(end_char - length(text) AS INTEGER) AS start_char, end_char, header, length(text) < 175 AS is_undersized,
-  md5({_EMBED.format(h='header')}) AS embedding_md5 FROM placed""")
+@query(f"""WITH RECURSIVE {structured_segments_sql()}
+SELECT contract_id, scheme, CAST(i AS INTEGER) AS position, base AS start_char, CAST(base + length(text) AS INTEGER) AS end_char, header, length(text) < 175 AS is_undersized, md5({_EMBED.format(h='header')}) AS embedding_md5
+FROM top WHERE scheme <> 'fallback'""")
 def header_split(spark: SparkSession, sf: str) -> DataFrame:
-    own = structured(spark, sf, 150).where(F.pmod(F.col("contract_id").cast("long"), F.lit(3)) == 0)
-    rows = segment.with_context(segment.header_pieces(own, "article"))
-    return rows.select("contract_id", "position", "start_char", "end_char", "header", "is_undersized", F.md5("embedding_text").alias("embedding_md5"))
+    """Every structured contract with headings, cut by its own grammar."""
+    own, out = structured(spark, sf), None
+    for k, scheme in enumerate(KINDS[:-1]):
+        rows = segment.with_context(segment.header_pieces(own.where(F.pmod(F.col("contract_id").cast("long"), F.lit(len(KINDS))) == k), scheme)).withColumn("scheme", F.lit(scheme))
+        out = rows if out is None else out.unionByName(rows)
+    return out.select("contract_id", "scheme", "position", "start_char", "end_char", "header", "is_undersized", F.md5("embedding_text").alias("embedding_md5"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {structured_segments_sql()}
+SELECT contract_id, segment_id, position, start_char, end_char, scheme, header, parent_id, is_undersized, md5({_EMBED.format(h="CASE WHEN parent_id IS NULL THEN header ELSE above || ' > ' || header END")}) AS embedding_md5 FROM full_seg""")
 def segment_full(spark: SparkSession, sf: str) -> DataFrame:
     rows = segment.segment_documents(structured(spark, sf))
     return rows.select("contract_id", "segment_id", "position", "start_char", "end_char", "scheme", "header", "parent_id", "is_undersized", F.md5("embedding_text").alias("embedding_md5"))
@@ -522,12 +532,12 @@ def structural_features(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""{_STRUCT_SQL}, r AS (SELECT min(log_char_len) AS lo, max(log_char_len) AS hi FROM st WHERE contract_id NOT LIKE '%0')
-SELECT contract_id, position, round(greatest(0, least(1, (log_char_len - lo) / (hi - lo))), 6) AS log_char_len FROM st, r WHERE contract_id LIKE '%0'""")
+SELECT contract_id, position, CASE WHEN contract_id LIKE '%0' THEN 'held' ELSE 'train' END AS side, round(greatest(0, least(1, (log_char_len - lo) / (hi - lo))), 6) AS log_char_len FROM st, r""")
 def minmax_scaled(spark: SparkSession, sf: str) -> DataFrame:
-    rows = classify.structural(_training(spark, sf))
-    held = F.endswith("contract_id", F.lit("0"))
-    out = classify.scaled(rows.where(held), classify.fit_ranges(rows.where(~held)))
-    return _rounded(out.select("contract_id", "position", "log_char_len"))
+    """Every segment, scaled by the ranges of the training side."""
+    rows = classify.structural(_training(spark, sf)).withColumn("side", F.when(F.endswith("contract_id", F.lit("0")), "held").otherwise("train"))
+    out = classify.scaled(rows, classify.fit_ranges(rows.where("side = 'train'")))
+    return _rounded(out.select("contract_id", "position", "side", "log_char_len"))
 
 
 _SIM_WORDS = _words_sql("docs_t", "id", "text", "dt") + "," + _words_sql("items_t", "id", "text", "it")

@@ -6,6 +6,8 @@ there, in the questions' fixed template. Nothing is joined to make them, so they
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,36 +99,74 @@ ev AS (
   LEFT JOIN (SELECT contract_id, category, arg_min(gold_text, i) AS gold_text FROM gold GROUP BY ALL) g ON g.contract_id = d.contract_id AND g.category = c.category)"""
 
 
-def structured(spark: SparkSession, sf_dir: str, size: int | None = None) -> DataFrame:
-    """Contracts with an opening line and four numbered parts each, in one of three grammars by document.
+#: Grammars of the structured contracts by the remainder of their id, each with its headings; the last remainder has none.
+KINDS = ("article", "section_nn", "bare_nn", "section_inline", "article_inline", "bare_nn_inline", "int_dot_inline", None)
+NAMES, ROMAN = ("First", "Second", "Third", "Fourth"), ("I", "II", "III", "IV")
 
-    The parts are the quarters of the whole text, without line breaks; with ``size`` the first four slices of so many characters, which is
-    what STRUCTURED_SQL cuts (150).
-    """
-    flat = F.regexp_replace("context", "[\n\r]+", " ")
-    kind = F.pmod(F.col("contract_id").cast("long"), F.lit(3))
 
-    def head(i: int):  # noqa: ANN202
-        name = ("FIRST", "SECOND", "THIRD", "FOURTH")[i - 1]
-        return (
-            F.when(kind == 0, F.lit(f"\n\nARTICLE {i} {name} PART\n"))
-            .when(kind == 1, F.lit(f"\n\nSection {i}.{i} {name.title()} Part. "))
-            .otherwise(F.lit(f"\n\n{i}.1 {name.title()} Part. "))
-        )
+def _heads(i: int) -> tuple[str, ...]:
+    """Heading of part i by grammar: what goes to the part before it, a bar, and the heading."""
+    name = NAMES[i - 1]
+    return (
+        f"|\n\nARTICLE {i} {name.upper()} PART\n", f"|\n\nSection {i}.{i} {name} Part. ", f"|\n\n{i}.1 {name} Part. ",
+        f" |SECTION {i} ", f" |ARTICLE {ROMAN[i - 1]} ", f" |{i}.1 {name} Part. ", f" |{i}. {name} Part. ", "| ",
+    )
+
 
-    quarter = F.lit(size) if size else F.ceil(F.char_length("flat") / 4).cast("int")
+def structured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contracts with an opening line and four parts each, the quarters of the whole text without line breaks, under headings of one of seven grammars or none."""
+    flat = F.regexp_replace("context", "[\n\r]+", " ")
+    kind = F.pmod(F.col("contract_id").cast("long"), F.lit(len(KINDS)))
+    quarter = F.ceil(F.char_length("flat") / 4).cast("int")
     parts = [F.lit("This agreement opens here.")]
     for i in range(1, 5):
-        parts += [head(i), F.substring(F.col("flat"), 1 + quarter * (i - 1), quarter), F.lit(" end")]
+        heads = F.array(*[F.lit(h.replace("|", "")) for h in _heads(i)])
+        parts += [F.get(heads, kind.cast("int")), F.substring(F.col("flat"), 1 + quarter * (i - 1), quarter), F.lit(" end")]
     return contracts(spark, sf_dir).withColumn("flat", flat).select("contract_id", F.concat(*parts).alias("context"))
 
 
-def _head_sql(i: int) -> str:
-    name = ("FIRST", "SECOND", "THIRD", "FOURTH")[i - 1]
-    return f"""CASE doc_id % 3 WHEN 0 THEN chr(10) || chr(10) || 'ARTICLE {i} {name} PART' || chr(10)
-      WHEN 1 THEN chr(10) || chr(10) || 'Section {i}.{i} {name.title()} Part. ' ELSE chr(10) || chr(10) || '{i}.1 {name.title()} Part. ' END"""
+def _literal(text: str) -> str:
+    return " || ".join("chr(10)" if x == "\n" else f"'{x}'" for x in re.split("(\n)", text) if x) or "''"
+
+
+def _head_sql(i: int, side: int) -> str:
+    """The heading of part i (side 1), or what it leaves to the part before (side 0)."""
+    return f"CASE doc_id % {len(KINDS)} " + " ".join(f"WHEN {k} THEN {_literal(h.split('|')[side])}" for k, h in enumerate(_heads(i))) + " END"
 
 
+def _part_sql(i: int) -> str:
+    own = f"{_head_sql(i, 1)} || substr(t, CAST(1 + q * {i - 1} AS BIGINT), CAST(q AS BIGINT)) || ' end'"
+    return own + (f" || {_head_sql(i + 1, 0)}" if i < 4 else "")
+
+
+#: CTEs: ``flat``, ``part`` (contract_id, kind, i, text: the opening and the four parts) and ``structured`` (contract_id, kind, context).
 STRUCTURED_SQL = f"""
-flat AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\n\\r]+', ' ', 'g') AS t FROM documents),
-structured AS (SELECT CAST(doc_id AS VARCHAR) AS contract_id, doc_id, 'This agreement opens here.' || {" || ".join(f"{_head_sql(i)} || substr(t, {1 + 150 * (i - 1)}, 150) || ' end'" for i in range(1, 5))} AS context FROM flat)"""
+flat AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\n\\r]+', ' ', 'g') AS t, ceil(length(regexp_replace(coalesce(text, ''), '[\\n\\r]+', ' ', 'g')) / 4) AS q FROM documents),
+part AS (SELECT CAST(doc_id AS VARCHAR) AS contract_id, doc_id % {len(KINDS)} AS kind, 0 AS i, 'This agreement opens here.' || {_head_sql(1, 0)} AS text FROM flat
+  {" ".join(f"UNION ALL SELECT CAST(doc_id AS VARCHAR), doc_id % {len(KINDS)}, {i}, {_part_sql(i)} FROM flat" for i in range(1, 5))}),
+structured AS (SELECT contract_id, kind, string_agg(text, '' ORDER BY i) AS context FROM part GROUP BY contract_id, kind)"""
+
+
+def structured_segments_sql() -> str:
+    """CTEs ``top`` (contract_id, scheme, i, header, text, start_char) and ``full_seg``, the segments of the structured contracts; needs WITH RECURSIVE.
+
+    A part over 4,500 characters and from 6,000 on is cut into windows of 3,000, as is a contract without headings.
+    """
+    names = " ".join(f"WHEN {k} THEN '{n}'" for k, n in enumerate(KINDS) if n)
+    header = " ".join(
+        f"WHEN i = {i} AND kind = {k} THEN '{h}'"
+        for i in range(1, 5)
+        for k, h in enumerate((f"ARTICLE {i} {NAMES[i - 1].upper()} PART", f"{i}.{i} {NAMES[i - 1]} Part", f"{i}.1 {NAMES[i - 1]} Part", f"SECTION {i}", f"ARTICLE {ROMAN[i - 1]}", f"{i}.1 {NAMES[i - 1]} Part", f"{i} {NAMES[i - 1]} Part"))
+    )
+    none = len(KINDS) - 1
+    return f"""{STRUCTURED_SQL},
+top AS (SELECT contract_id, CASE kind {names} ELSE 'fallback' END AS scheme, i, CASE WHEN i = 0 THEN '[preamble]' {header} END AS header, text,
+    CAST(sum(length(text)) OVER (PARTITION BY contract_id ORDER BY i) - length(text) AS INTEGER) AS base FROM part WHERE kind <> {none}
+  UNION ALL SELECT contract_id, 'fallback', 0, '', context, 0 FROM structured WHERE kind = {none}),
+sized AS (SELECT *, CAST(length(text) AS INTEGER) AS n FROM top),
+walk AS (SELECT *, 0 AS j, 0 AS s, CAST(CASE WHEN n < 6000 THEN n ELSE {_cut('0', 3000)} END AS INTEGER) AS e FROM sized
+  UNION ALL SELECT contract_id, scheme, i, header, text, base, n, j + 1, e, CAST({_cut('e', 3000)} AS INTEGER) FROM walk WHERE e < n),
+named AS (SELECT contract_id, scheme, i, j, base + s AS start_char, base + e AS end_char, n >= 6000 AS cut, header AS above, substr(text, s + 1, e - s) AS text,
+  contract_id || CASE scheme WHEN 'fallback' THEN '_seg' || j ELSE '_top' || i END AS own, CASE WHEN n >= 6000 THEN '[window ' || j || ']' ELSE header END AS header FROM walk),
+full_seg AS (SELECT contract_id, CASE WHEN cut AND scheme <> 'fallback' THEN own || '_sub' || j ELSE own END AS segment_id, CAST(row_number() OVER (PARTITION BY contract_id ORDER BY i, j) - 1 AS INTEGER) AS position,
+  start_char, end_char, scheme, header, CASE WHEN cut AND scheme <> 'fallback' THEN own END AS parent_id, above, length(text) < 175 AS is_undersized, text FROM named)"""
