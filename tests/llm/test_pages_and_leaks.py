@@ -1,7 +1,10 @@
 """HTML extraction, minimum cuts, edit matching and the pipeline."""
 
+import html
 import itertools
 import random
+import re
+import time
 from collections import defaultdict
 
 import pytest
@@ -23,9 +26,107 @@ def test_article_text():
     assert H.main_text(PAGE) == "Title & more First paragraph here, quite long. Next line Second <b>. one two"
 
 
-@pytest.mark.parametrize("html", [None, "", "plain", "<p", "<p class='x", "<<<>>>", "</div></p>", "<!-- open", "<script>never closed", "<a href=\"" * 50, "&#0;&#x110000;&bogus;&amp", "<p>" * 3000 + "x"])
-def test_broken_pages_are_read(html):
-    assert isinstance(H.main_text(html), str)
+@pytest.mark.parametrize("page", [None, "", "plain", "<p", "<p class='x", "<<<>>>", "</div></p>", "<!-- open", "<script>never closed", "<a href=\"" * 50, "&#0;&#x110000;&bogus;&amp", "<p>" * 3000 + "x"])
+def test_broken_pages_are_read(page):
+    assert isinstance(H.main_text(page), str)
+
+
+WRAPPERS = (
+    '<div class="layout has-sidebar">{}</div>', '<div class="no-sidebar"><main>{}</main></div>', '<form id="aspnetForm"><div class="article">{}</div></form>', '<div id="page-with-comments">{}</div>',
+    '<div class="page-wrapper banner-on">{}</div>', '<section class="main-content legal-news">{}</section>',
+)
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+def test_wrappers_keep_their_article(wrapper):
+    article = "<article><h1>Title of it</h1><p>First paragraph of a text that is here.</p><p>Short one</p></article>"
+    for nav in ("", "<nav><ul><li><a href=1>One</a><li><a href=2>Two</a></ul></nav>"):
+        for after in ("", "<section class=comments><article><p>A reader says that this is a good article.</p></article></section>"):
+            page = f"<body>{nav}{wrapper.format(article + after)}<footer>x y. z</footer></body>"
+            assert H.main_text(page) == "Title of it First paragraph of a text that is here. Short one"
+
+
+def labelled_pages():
+    """Pages with (text, is content) for each block in order."""
+    r = random.Random(9)
+    sentence = lambda n: " ".join(r.choice("the a town house hill river people came went saw far near old new day".split()) for _ in range(n)).capitalize() + "."
+    for k in range(60):
+        parts, want = [], []
+
+        def add(html, text, keep, parts=parts, want=want):
+            parts.append(html.format(text))
+            want.append((text, keep))
+
+        for i in range(r.randrange(2, 6)):
+            add('<nav><ul><li><a href="/x">{}</a></li></ul></nav>', f"Link {i}", False)
+        parts.append(r.choice(["<article>", "<main>", '<div class="post-content">']))
+        add("<h1>{}</h1>", sentence(4)[:-1], True)
+        for i in range(r.randrange(2, 7)):
+            add("<p>{}</p>", sentence(r.choice([2, 3, 15, 60])) if r.random() < 0.9 else "All rights reserved.", True)
+            if r.random() < 0.3:
+                add('<div class="{}">{{}}</div>'.format(r.choice(["ad", "promo-box", "share", "related-posts"])), sentence(r.choice([3, 20])), False)
+        parts.append({"<article>": "</article>", "<main>": "</main>"}.get(next(p for p in parts if p in ("<article>", "<main>") or p.startswith('<div class="post')), "</div>"))
+        for i in range(r.randrange(3)):
+            add('<div class="comment"><p>{}</p></div>', sentence(12), False)
+        add("<footer><p>{}</p></footer>", "Copyright of somebody", False)
+        yield "<body>" + "".join(parts), want
+
+
+def test_labelled_pages_go_through_the_cut(monkeypatch):
+    flows, changed, wrong, blocks = 0, 0, 0, 0
+    original = H._flow
+
+    def counted(*a):
+        nonlocal flows
+        flows += 1
+        return original(*a)
+
+    monkeypatch.setattr(H, "_flow", counted)
+    for page, want in labelled_pages():
+        own = H.blocks_of(page)
+        assert [b.text for b in own] == [t for t, _ in want]
+        odds, tied = [b.odds for b in own], H.ties(own)
+        got = H.minimum_cut(odds, tied)
+        changed += sum(g != (o > 0) for g, o in zip(got, odds, strict=True))
+        wrong += sum(g != k for g, (_, k) in zip(got, want, strict=True))
+        blocks += len(own)
+        if len(own) <= 12:
+            cost = lambda x: sum(abs(o) for o, keep in zip(odds, x, strict=True) if keep != (o > 0)) + sum(w for i in range(len(own)) for j, w in tied[i].items() if j < i and x[i] != x[j])  # noqa: B023, E731
+            assert cost(got) == pytest.approx(min(map(cost, itertools.product([False, True], repeat=len(own)))))
+    assert flows > 40 and changed > 10 and wrong <= 0.01 * blocks, (flows, changed, wrong, blocks)
+
+
+def test_supplied_pages_go_through_the_cut(spark, monkeypatch):
+    flows, changed, original = 0, 0, H._flow
+
+    def counted(*a):
+        nonlocal flows
+        flows += 1
+        return original(*a)
+
+    monkeypatch.setattr(H, "_flow", counted)
+    for row in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("html").collect():
+        own = H.blocks_of(row.html)
+        got = H.minimum_cut([b.odds for b in own], H.ties(own))
+        changed += sum(g != (b.odds > 0) for g, b in zip(got, own, strict=True))
+        article = re.search(r"<article>(.*)</article>", row.html, re.S)[1]
+        plain = " ".join(html.unescape(re.sub(r"<[^>]*>", " ", article)).split())
+        assert " ".join(b.text for b, keep in zip(own, got, strict=True) if keep).replace(" ", "") == plain.replace(" ", "")
+    assert flows > 2000 and changed > 10
+
+
+@pytest.mark.parametrize("bad", ["<a ", '<a href="x>', "<a '\">", "<div>", "<b><div>", "<div>x", "<p>text. ", "<li>", "<i><p>", "<", "</a", "<div><header>", "<!-- ", "&", "<script>"])
+def test_broken_pages_take_linear_time(bad):
+    began = time.monotonic()
+    H.main_text(bad * (1_000_000 // len(bad)))
+    H.main_text(bad * 100_000 + "</b>" * 100_000 + "</x>" * 100_000)
+    assert time.monotonic() - began < 20
+
+
+def test_a_page_of_very_many_blocks():
+    page = "<article>" + "<p>One more paragraph of it.</p>" * 200_000 + "</article>"
+    began = time.monotonic()
+    assert len(H.main_text(page)) == 200_000 * 26 - 1 and time.monotonic() - began < 60
 
 
 def test_page_without_marks_keeps_its_prose():

@@ -1,12 +1,15 @@
 """Quality rules, line dedup, sharding and secrets against plain versions, with nulls, ties, repeats, clashing columns and empty tables."""
 
 import hashlib
+import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from spanloom.llm import line_dedup, quality, secrets, sharding
 
@@ -128,19 +131,109 @@ def test_secret_patterns(spark):
     assert any(got.values())
 
 
-def test_random_tokens_are_found_and_words_are_not(spark):
+def plain_battery(texts):
+    """Spans of random tokens by plain loops over characters, from the same constants."""
+    S = secrets
+    rest = "".join(re.sub(S.TOKEN, " ", t or "").lower() + "\n" for t in texts)
+    counts = [rest.count(c) for c in S.LOWER + S.DIGITS]
+    letters = [a + S.KNOWN * b / sum(S.LETTERS) for a, b in zip(counts[:26], S.LETTERS, strict=True)]
+    digits = [a + S.KNOWN * b / 1000 for a, b in zip(counts[26:], S.NUMBERS, strict=True)]
+    pairs = S.KNOWN + sum(a in S.LOWER and b in S.LOWER for a, b in zip(rest, rest[1:], strict=False))
+    both = S.KNOWN * S.VOWEL_PAIRS + sum(a in "aeiou" and b in "aeiou" for a, b in zip(rest, rest[1:], strict=False))
+    vowel = sum(letters[S.LOWER.index(c)] for c in "aeiou") / sum(letters)
+    turn = (both / pairs - vowel**2) / (vowel * (1 - vowel))
+    agree = lambda c, k: sum((x / sum(c)) ** k for x in c)
+
+    def score(b):
+        alphabet = next(a for a in S.ALPHABETS if set(b) <= set(a))
+        n, kinds = len(b), [sum(c in k for c in b) for k in (S.LOWER, S.UPPER, S.DIGITS)]
+        own = letters[:6] if S.ALPHABETS.index(alphabet) in S.HEX else letters
+        mean, third = (sum((k / n) ** p for k in kinds[:2]) * agree(own, p) + (kinds[2] / n) ** p * agree(digits, p) for p in (2, 3))
+        same = sum(b[i] == b[j] for i in range(n) for j in range(n) if i != j) / (n * (n - 1))
+        tests = [(mean - same) / math.sqrt((2 * mean * (1 - mean) + 4 * (n - 2) * max(third - mean**2, 0)) / (n * (n - 1)))]
+        kind = lambda c: (c in S.LOWER) + 2 * (c in S.UPPER)
+        if sum(k > 0 for k in kinds) > 1:
+            q = S.CHANGES[kinds[0] > 0 and kinds[1] > 0]
+            tests.append((sum(kind(x) != kind(y) for x, y in zip(b, b[1:], strict=False)) - (n - 1) * q) / math.sqrt((n - 1) * q * (1 - q)))
+        near = [(x.lower() in "aeiou", y.lower() in "aeiou") for x, y in zip(b, b[1:], strict=False) if x.isalpha() and y.isalpha()]
+        if len(near) >= 6 and own is letters:
+            tests.append((sum((x - vowel) * (y - vowel) for x, y in near) / (len(near) * vowel * (1 - vowel)) - turn) * math.sqrt(len(near)))
+        at = [alphabet.index(c) for c in b]
+        centre = sum(at) / n
+        var = sum((x - centre) ** 2 for x in at)
+        order = abs(sum((x - centre) * (y - centre) for x, y in zip(at, at[1:], strict=False)) / var + 1 / n) * math.sqrt(n) if var else n
+        return -10.0 if order > S.MOST_ORDER else sum(tests) / math.sqrt(len(tests))
+
+    found = []
+    for d, t in enumerate(texts):
+        taken = [(int(a), int(b)) for a, b in (x.split(":")[1:] for x in plain_spans(t).split(",") if x)]
+        for m in re.finditer(S.TOKEN, t or ""):
+            pieces = [p for p in re.split(S.SEPARATORS, m[0]) if p]
+            own = {p for p in ("".join(pieces), max(pieces, key=len, default="")) if len(p) >= S.MIN_TOKEN}
+            if own and not any(a < m.end() and m.start() < b for a, b in taken):
+                z = max(map(score, own))
+                p = min(1.0, len(own) * (1.0 if z <= 0 else math.exp(-z * z / 2) / math.sqrt(2 * math.pi) * 4 / (3 * z + math.sqrt(z * z + 8))))
+                found.append((d, m.start(), m.end(), sum(len("".join(pieces)) >= low for low in S.STRATA), 10 ** (-math.floor(-math.log10(max(p, 1e-300)) * S.BINS) / S.BINS)))
+    out = set()
+    for stratum in {x[3] for x in found}:
+        ps = sorted(x[4] for x in found if x[3] == stratum)
+        cut = max((p for p in ps if p <= S.ALPHA * sum(q <= p for q in ps) / len(ps)), default=-1)
+        out |= {x[:3] for x in found if x[3] == stratum and x[4] <= cut}
+    return out
+
+
+#: Names as code has them.
+NAMES = (
+    "getUserAccountById2FromCache convertUtf8StringToBase64 sha256WithRSAEncryption README2023FinalVersionCopy ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789 "
+    "Version1Version2Version3Version4 2024-01-02-the-Third-of-all-the-Pages AbcAbcAbcAbcAbcAbcAbc1111111 averylongwordthathasnodigitsatall src/main/python/streaming/example "
+    "MAX_BUFFER_SIZE_IN_BYTES_PER_CHANNEL donaudampfschifffahrtsgesellschaft 12345678901234567890123456789012 test_groupby_with_hierarchical_columns"
+).split()
+
+
+def named(r, n):
+    """Names put together from words, in four styles."""
+    words = "get set user account item value index first last stream buffer table column row read write file path name count total size open close parse load save text line word page view model data json http client server request response error state event handler manager factory builder service".split()
+    out = []
+    while len(out) < n:
+        own = [r.choice(words) for _ in range(r.randrange(4, 7))]
+        x = r.choice([lambda w: w[0] + "".join(map(str.title, w[1:])), "_".join, "-".join, lambda w: "".join(map(str.title, w)) + str(r.randrange(100))])(own)
+        out += [x] if len(re.sub("[-_]", "", x)) >= 20 else []
+    return out
+
+
+def test_random_tokens_are_found_and_names_are_not(spark):
     r = random.Random(5)
-    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-    keys = ["".join(r.choice(letters) for _ in range(r.choice([24, 32, 40, 64]))) for _ in range(100)]
-    words = ["Version1Version2Version3Version4", "AbcAbcAbcAbcAbcAbcAbc1111111", "averylongwordthathasnodigitsatall", "2024-01-02-the-Third-of-all-the-Pages", "00000000000000000000000000000001a"]
-    texts = [f"see {k} there" for k in keys] + [f"see {w} there" for w in words]
+    pick = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    some, letters, small = secrets.ALPHABETS[9], secrets.ALPHABETS[8], secrets.ALPHABETS[6]
+    makers = {
+        "plain": lambda: pick(some, r.choice([32, 40, 64])),
+        "letters": lambda: pick(letters, 40),
+        "low": lambda: pick(small, 40),
+        "uuid": lambda: "-".join(pick("0123456789abcdef", k) for k in (8, 4, 4, 4, 12)),
+        "prefix": lambda: "ghp_" + pick(some, 36),
+        "slack": lambda: f"xoxb-{pick(secrets.DIGITS, 12)}-{pick(secrets.DIGITS, 12)}-{pick(some, 28)}",
+        "base64": lambda: pick(some + "+/", 43) + "=",
+    }
+    keys = [(k, f()) for k, f in makers.items() for _ in range(40)]
+    names = NAMES + named(r, 500)
+    texts = [f"see {k} there" for _, k in keys] + [f"see {w} there" for w in names]
     found = secrets.secrets(docs(spark, texts)).collect()
-    hit = {x.doc_id: [(s.start, s.end) for s in x.spans if s.kind == "random"] for x in found}
-    assert sum(hit[i] == [(4, 4 + len(k))] for i, k in enumerate(keys)) >= 95
-    assert not any(hit[100 + i] for i in range(len(words)))
+    hit = {(x.doc_id, s.start, s.end) for x in found for s in x.spans if s.kind == "random"}
+    assert hit == plain_battery(texts)
+    caught = Counter(keys[d][0] for d, s, e in hit if d < len(keys) and (s, e) == (4, 4 + len(keys[d][1])))
+    assert sum(caught.values()) >= 0.95 * len(keys) and min(caught[k] for k in makers) >= 36, caught
+    assert sum(d >= len(keys) for d, _, _ in hit) < 0.02 * len(names)
     assert secrets.secrets(docs(spark, ["x"]).where("false")).count() == 0
 
 
+def test_texts_of_many_secrets_take_linear_time(spark):
+    r = random.Random(6)
+    text = "\n".join("%032x" % r.getrandbits(128) for _ in range(40_000))
+    began = time.monotonic()
+    row = secrets.secrets(docs(spark, [text, text[:-1] + "g " + "x" * 3_000_000])).select("doc_id", F.size("base").alias("n")).orderBy("doc_id").collect()
+    assert [x.n for x in row] == [40_000, 40_000] and time.monotonic() - began < 15
+
+
 def test_base_spans_stay_and_are_not_found_twice(spark):
     key = "aB3dE5gH7jK9mN1pQ3sT5vX7zA9"
     x = secrets.secrets(docs(spark, [f"token={key} and {key}"])).collect()[0]
@@ -150,7 +243,7 @@ def test_base_spans_stay_and_are_not_found_twice(spark):
 
 def test_random_tokens_behind_an_equals_sign(spark):
     r = random.Random(8)
-    key = lambda n: "".join(r.choice(secrets.ENCODINGS[5][1]) for _ in range(n))
+    key = lambda n: "".join(r.choice(secrets.ALPHABETS[9]) for _ in range(n))
     long, short, padded = key(40), key(26), key(26) + "=="
     texts = [f"AWS_SECRET_ACCESS_KEY={long}\n", f"https://x.org/f?a=1&sig={short}&b=2", f"AccountName=x;AccountKey={padded};EndpointSuffix=y", f'export NAME="{long}"', f"a_name_longer_than_twenty_letters={short}"]
     found = {x.doc_id: [texts[x.doc_id][s.start : s.end] for s in x.spans] for x in secrets.secrets(docs(spark, texts)).collect()}
