@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.sources.stage import shared_dir, staged  # noqa: F401  used by all operators here
+
 #: The white space of all contracts here: space and the five controls 0x09 to 0x0D.
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_CLASS = r"[\x20\x09-\x0D]"
@@ -15,24 +14,6 @@ WORD_CLASS = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset (tests), a new local one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spanloom-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet below the shared folder and read back: lineage is cut, and a lost executor costs a re-read."""
-    path = f"{shared_dir(df.sparkSession)}/spanloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def whole(text: Column) -> Column:
     """The text with null as the empty text."""
     return F.coalesce(text, F.lit(""))
@@ -50,3 +31,14 @@ def let(value: Column, body) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, each with underscores behind it until no column has it (Spark tells names apart without regard to case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.text import emitted
 
-from .common import let, staged, whole
+from .common import fresh, let, staged, whole
 
 #: Fixed patterns: kind, regular expression (``+`` where a match may fail), least size of the group that is measured, and the group.
 KINDS = (
@@ -104,10 +104,15 @@ def _measured(bare: Column) -> Column:
 
         def of(x: Column) -> Column:
             n = F.size(x).cast("double")
-            centre = F.aggregate(x, F.lit(0.0), lambda acc, y: acc + y) / n
-            var = F.aggregate(x, F.lit(0.0), lambda acc, y: acc + F.pow(y - centre, F.lit(2.0)))
-            lag = F.aggregate(F.zip_with(F.slice(x, F.lit(1), F.size(x) - 1), F.slice(x, F.lit(2), F.size(x) - 1), lambda a, b: (a - centre) * (b - centre)), F.lit(0.0), lambda acc, y: acc + y)
-            return F.when(var > 0, F.abs(lag / var + 1 / n) * F.sqrt(n)).otherwise(n)
+
+            # The centre is bound, not named: a lambda would work it out anew for each element.
+            def around(y: Column) -> Column:
+                var = F.aggregate(y, F.lit(0.0), lambda acc, v: acc + v * v)
+                lag = F.aggregate(F.zip_with(F.slice(y, F.lit(1), F.size(y) - 1), F.slice(y, F.lit(2), F.size(y) - 1), lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
+                return let(var, lambda d: F.when(d > 0, F.abs(lag / d + 1 / n) * F.sqrt(n)).otherwise(n))
+
+            centre = F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v) / n
+            return let(let(centre, lambda c: F.transform(x, lambda v: v - c)), around)
 
         return let(F.transform(F.split(bare, ""), lambda c: F.position(c, alphabet).cast("double")), of)
 
@@ -119,7 +124,7 @@ def _measured(bare: Column) -> Column:
         squares.alias("squares"),
         F.regexp_count(bare, F.lit("[a-z]+|[A-Z]+|[0-9]+")).cast("double").alias("runs"),
         *[F.regexp_count(bare, F.lit(p)).cast("double").alias(k) for k, p in neighbour.items()],
-        order(F.get(alphabets, held)).alias("order"),
+        let(F.get(alphabets, held), order).alias("order"),
     )
 
 
@@ -224,8 +229,9 @@ def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
     base = F.array_sort(F.concat(*[kind(*k, rank) for rank, k in enumerate(KINDS)]))
     counts = let(F.lower(F.regexp_replace(t, TOKEN, " ")), counted)
     own = [c for c in docs.columns if c not in (text, "base", "tokens", "counts")]
-    both = docs.select(*own, let(base, with_tokens).alias("__found"), counts.alias("counts"))
-    return both.select(*own, "__found.base", "__found.tokens", "counts")
+    (f,) = fresh(own, "found")
+    both = docs.select(*own, let(base, with_tokens).alias(f), counts.alias("counts"))
+    return both.select(*own, F.col(f)["base"].alias("base"), F.col(f)["tokens"].alias("tokens"), "counts")
 
 
 def ordinary(found: DataFrame) -> Ordinary:
