@@ -8,7 +8,8 @@
    a pair goes once the chance that it reaches the threshold is under MISS. What survives is confirmed on the full sets.
 4. The links found so far give components. Inside a bucket that still holds several, members of different components are compared
    in the same way, block by block and with their sets at hand, so that no link is lost between documents that differ from the bucket's
-   least one. Pairs inside a component are never compared, and none but the links that join components leave the bucket.
+   least one. The bucket's largest component lies in blocks of its own, which meet the blocks of the other members but never each other. Pairs inside a
+   component are never compared, and none but the links that join components leave the bucket.
 
 A pair at the threshold shares no band with a chance under 1e-7 at 0.85 and 4e-6 at 0.8. Texts are read twice: for the signatures and, of
 bucket members only, for the sets.
@@ -23,7 +24,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import MEMORY, SLICE_CHARS, slices
@@ -35,8 +36,10 @@ BANDS, ROWS, BATCH = 32, 5, 32
 SIZE = BANDS * ROWS
 #: Chance of a pair at the threshold to be given up after any one batch.
 MISS = 1e-7
-#: Buckets whose sets hold more shingles together than this are compared in pairs of blocks of about this size.
-BLOCK = 1_000_000
+#: Members of a bucket are compared in pairs of blocks of about so many members, and of so many shingles together.
+MEMBERS, BLOCK = 400, 500_000
+#: Longer words are hashed anew each time.
+WORD_BYTES = 64
 _RNG = np.random.default_rng(20240229)
 FACTORS = (_RNG.integers(0, 2**63, SIZE, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -49,6 +52,22 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def word_hashes(words: list, known: dict) -> np.ndarray:
+    """Hashes of words, of which at most MEMORY short ones are remembered, whatever a single text holds."""
+    out = np.empty(len(words), dtype=np.uint64)
+    for at in range(0, len(words), MEMORY):
+        part = words[at : at + MEMORY]
+        if len(known) > MEMORY:
+            known.clear()
+        long: dict = {}
+        for w in set(part):
+            if w not in known:
+                (known if len(w) <= WORD_BYTES else long)[w] = xxhash.xxh3_64_intdigest(w)
+        look = (lambda w, a=known, b=long: a[w] if w in a else b[w]) if long else known.__getitem__
+        out[at : at + len(part)] = np.fromiter(map(look, part), dtype=np.uint64, count=len(part))
+    return out
+
+
 class Shingler:
     """Sets of shingles as sorted, distinct 64-bit hashes; remembers the hashes of a bounded number of words."""
 
@@ -56,18 +75,15 @@ class Shingler:
         self.words = words
         self.known: dict[bytes, int] = {}
 
+    def _hashes(self, words: list[bytes]) -> np.ndarray:
+        return word_hashes(words, self.known)
+
     def shingles(self, text: str | None) -> np.ndarray:
         """Lower-cases A-Z, splits at blanks; fewer words than a shingle has make one of them all, none make none."""
         words = (text or "").encode("utf-8").lower().split()
         if not words:
             return np.empty(0, dtype=np.uint64)
-        known = self.known
-        if len(known) > MEMORY:
-            known.clear()
-        for w in set(words):
-            if w not in known:
-                known[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+        h = self._hashes(words)
         k = min(self.words, len(words))
         with np.errstate(over="ignore"):
             out = np.full(len(words) - k + 1, k, dtype=np.uint64)
@@ -267,8 +283,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, key:
     alone = full.join(members.select("doc"), "doc", "left_anti").select("doc", "n_shingles", "signature", "bands")
 
     banded = alone.select("doc", "n_shingles", F.explode("bands").alias("bucket"))
-    buckets = banded.groupBy("bucket").agg(F.min("doc").alias("leader"), F.count("*").alias("n"), F.sum("n_shingles").alias("size")).where("n > 1")
-    met = staged(banded.drop("n_shingles").join(buckets, "bucket"), "buckets")
+    buckets = banded.groupBy("bucket").agg(F.min("doc").alias("leader"), F.count("*").alias("n")).where("n > 1")
+    met = staged(banded.join(buckets.select("bucket", "leader", "n"), "bucket"), "buckets")
     met_docs = met.select("doc").distinct()
     signs = staged(alone.select("doc", "signature").join(met_docs, "doc", "left_semi"), "signs")
     own = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
@@ -281,16 +297,27 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, key:
 
     larger = met.where("n > 2").join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
     larger = staged(larger, "larger")
-    open_buckets = larger.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l < m").select("bucket")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    sides = larger.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"))
+    largest = F.max(F.struct("n", F.col("size").alias("size"), "label"))
+    plan = sides.groupBy("bucket").agg(largest.alias("top"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.count("*").alias("labels")).where("labels > 1")
+
+    def blocks(n: Column, size: Column) -> Column:
+        return F.greatest(F.ceil(n / MEMBERS), F.ceil(size / BLOCK), F.lit(1)).cast("int")
+
+    plan = plan.select("bucket", F.col("top.label").alias("top"), blocks(F.col("n") - F.col("top.n"), F.col("size") - F.col("top.size")).alias("rest"), blocks(F.col("top.n"), F.col("top.size")).alias("tops"))
+    # Blocks of the other members come first; each pair of blocks has one of them, as its first.
+    is_top, of = F.col("label") == F.col("top"), F.xxhash64("doc")
+    met_blocks = F.when(is_top, F.sequence(F.lit(0), F.col("rest") - 1)).otherwise(F.sequence(F.lit(0), F.col("rest") + F.col("tops") - 1))
     dealt = (
-        larger.join(open_buckets, "bucket", "left_semi")
-        .join(signs, "doc")
-        .join(sets, "doc")
-        .withColumn("block", F.pmod(F.xxhash64("doc"), blocks).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        larger.drop("n")
+        .join(plan, "bucket")
+        .withColumn("block", F.when(is_top, F.col("rest") + F.pmod(of, F.col("tops"))).otherwise(F.pmod(of, F.col("rest"))).cast("int"))
+        .withColumn("other", F.explode(met_blocks))
         .withColumn("i", F.least("block", "other"))
         .withColumn("j", F.greatest("block", "other"))
+        .select("bucket", "i", "j", "block", "doc", "label", "leader")
+        .join(signs, "doc")
+        .join(sets, "doc")
         .repartition("bucket", "i", "j")
         .sortWithinPartitions("bucket", "i", "j", "doc")
     )
