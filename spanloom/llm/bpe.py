@@ -199,7 +199,7 @@ class PrefixBpe:
 
 
 @lru_cache(maxsize=2)
-def _built(content: str) -> PrefixBpe:
+def built(content: str) -> PrefixBpe:
     return PrefixBpe(content)
 
 
@@ -234,7 +234,7 @@ def encoded(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
     schema = T.StructType([*kept.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType(), False))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _built(vocabulary.value)
+        bpe = built(vocabulary.value)
         for batch in batches:
             texts = [x or "" for x in batch.column(text).to_pylist()]
             for a, b in slices([len(x) for x in texts], SLICE_CHARS):
@@ -256,7 +256,7 @@ def decoded(rows: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
     schema = T.StructType([*kept.schema.fields, T.StructField(text, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _built(vocabulary.value)
+        bpe = built(vocabulary.value)
         for batch in batches:
             column = batch.column(ids)
             sizes = [n or 0 for n in column.value_lengths().to_pylist()]

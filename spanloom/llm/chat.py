@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .bpe import SLICE_CHARS, load, slices
+from .bpe import SLICE_CHARS, PrefixBpe, built, load, slices
 
 END = "<|end|>\n"
 #: Control strings are these starts: ours and the special tokens <|...|>, sentence marks, instruction marks.
@@ -72,23 +72,55 @@ def loss_text(formatted: str, starts: np.ndarray, ends: np.ndarray, on: np.ndarr
     out = []
     for _, _, s, e in parse(formatted):
         a, b = np.searchsorted(ends, s, "right"), np.searchsorted(starts, e, "left")
-        own, at = [], s
-        for i in a + np.flatnonzero(on[a:b]):
-            lo, hi = max(at, int(starts[i])), min(e, int(ends[i]))
-            if lo < hi:
-                own.append(formatted[lo:hi])
-                at = hi
-        out.append(unescape("".join(own)))
+        own = a + np.flatnonzero(on[a:b])
+        if len(own):
+            # Tokens that share a character overlap; runs of tokens without a gap are taken at once.
+            low, high = np.maximum(starts[own], s), np.maximum.accumulate(np.minimum(ends[own], e))
+            first = np.flatnonzero(np.concatenate([[True], low[1:] > high[:-1]]))
+            out.append(unescape("".join(formatted[low[x]:high[y]] for x, y in zip(first, [*(first[1:] - 1), len(own) - 1], strict=True))))
     return "".join(out)
 
 
+class Aligner:
+    """Ids of a text with the characters that each covers; a character that several tokens share counts for each of them.
+
+    Byte-level BPE files go through the prefix encoder, whose tokens' byte lengths add up to the offsets; all others through the library.
+    """
+
+    def __init__(self, content: str) -> None:
+        try:
+            self.bpe: PrefixBpe | None = built(content)
+        except ValueError:
+            # A kind of file that the prefix encoder refuses.
+            self.bpe = None
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            self.library = Tokenizer.from_str(content)
+            self.library.no_padding()
+            self.library.no_truncation()
+
+    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if self.bpe is None:
+            e = self.library.encode(text, add_special_tokens=False)
+            edges = np.array(e.offsets, dtype=np.int32).reshape(-1, 2)
+            return np.array(e.ids, dtype=np.int32), edges[:, 0], edges[:, 1]
+        ids = np.frombuffer(self.bpe.encode(text), dtype="<i4")
+        sizes = self.bpe.raw_size[ids]
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        if not text.isascii():
+            of_byte = np.cumsum((np.frombuffer(text.encode(), dtype=np.uint8) & 0xC0) != 0x80) - 1
+            starts, ends = of_byte[starts], of_byte[ends - 1] + 1
+        return ids, starts.astype(np.int32), ends.astype(np.int32)
+
+
 @lru_cache(maxsize=2)
-def _tokenizer(content: str) -> Tokenizer:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    t = Tokenizer.from_str(content)
-    t.no_padding()
-    t.no_truncation()
-    return t
+def _aligner(content: str) -> Aligner:
+    return Aligner(content)
+
+
+def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(ends, pa.array(np.concatenate(parts), kind))
 
 
 def formatted(rows: DataFrame, tokenizer: str) -> DataFrame:
@@ -103,40 +135,39 @@ def formatted(rows: DataFrame, tokenizer: str) -> DataFrame:
     whole = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turns)).alias("turns")).select("conv_id", "turns.role", "turns.text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _tokenizer(content.value).encode_batch
+        align = _aligner(content.value)
         for batch in batches:
             ids, roles, texts = (batch.column(i).to_pylist() for i in range(3))
-            for a, b in slices([sum(map(len, t)) for t in texts], SLICE_CHARS // 4):
+            for a, b in slices([sum(map(len, t)) for t in texts], SLICE_CHARS):
                 done = [render(list(zip(r, t, strict=True))) for r, t in zip(roles[a:b], texts[a:b], strict=True)]
-                columns: list[list] = [ids[a:b], [f for f, _ in done], [], [], [], []]
-                for (_, spans), e in zip(done, encode([f for f, _ in done], add_special_tokens=False), strict=True):
-                    edges = np.array(e.offsets, dtype=np.int32).reshape(-1, 2)
-                    for column, value in zip(columns[2:], (np.array(e.ids, dtype=np.int32), edges[:, 0], edges[:, 1], mask(edges[:, 0], edges[:, 1], spans)), strict=True):
-                        column.append(value)
-                kinds = (pa.int64(), pa.string(), *[pa.list_(pa.int32())] * 3, pa.list_(pa.bool_()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["conv_id", "formatted", "ids", "token_starts", "token_ends", "loss_mask"])
+                aligned = [align(f) for f, _ in done]
+                masks = [mask(x[1], x[2], spans) for x, (_, spans) in zip(aligned, done, strict=True)]
+                columns = [pa.array(ids[a:b], pa.int64()), pa.array([f for f, _ in done], pa.string()), *(_lists([x[i] for x in aligned], pa.int32()) for i in range(3)), _lists(masks, pa.bool_())]
+                yield pa.RecordBatch.from_arrays(columns, ["conv_id", "formatted", "ids", "token_starts", "token_ends", "loss_mask"])
 
     return whole.mapInArrow(run, SCHEMA)
 
 
+def _values(column: pa.ListArray) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False)
+
+
 def read_back(rows: DataFrame) -> DataFrame:
     """What ``formatted`` rows say when they are parsed: turns, their digest, and the text under the mask."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                turns = parse(r["formatted"])
-                loss = loss_text(r["formatted"], *(np.array(r[c]) for c in ("token_starts", "token_ends", "loss_mask"))) if r["ids"] else ""
+            ids, texts = batch.column("conv_id").to_pylist(), batch.column("formatted").to_pylist()
+            edges = batch.column("ids").offsets.to_numpy()
+            flat = [_values(batch.column(c)) for c in ("token_starts", "token_ends", "loss_mask")]
+            out: dict[str, list] = {c: [] for c in READ.names}
+            for i, f, a, b in zip(ids, texts, edges[:-1] - edges[0], edges[1:] - edges[0], strict=True):
+                turns, loss = parse(f), loss_text(f, *(x[a:b] for x in flat))
                 said = "".join(f"{role}\n{text}\n" for role, text, _, _ in turns)
-                row = {
-                    "conv_id": r["conv_id"],
-                    "n_turns": len(turns),
-                    "turns_sha256": hashlib.sha256(said.encode()).hexdigest(),
-                    "loss_chars": len(loss),
-                    "loss_sha256": hashlib.sha256(loss.encode()).hexdigest(),
-                    "formatted_chars": len(r["formatted"]),
-                }
-                yield pa.RecordBatch.from_pylist([row], READ)
+                row = (i, len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(f))
+                for c, v in zip(READ.names, row, strict=True):
+                    out[c].append(v)
+            yield pa.RecordBatch.from_pydict(out, READ)
 
     return rows.select("conv_id", "formatted", "ids", "token_starts", "token_ends", "loss_mask").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
