@@ -3,8 +3,9 @@
 A shard is one row of a Parquet file: the raw ids of neighbouring documents (little-endian unsigned 32-bit integers, an end id after
 each document), where each document starts, and an index from document key to its rows. The index is a minimal perfect hash:
 keys fall into small buckets, each bucket stores the seed that sends its keys to free slots (a bucket of one key stores the slot
-itself), and each slot stores a 32-bit fingerprint of its key and its first row. A look-up is two hashes, one comparison and
-one slice, whatever the number of documents.
+itself), and each slot stores a 32-bit fingerprint of its key and its first row. A look-up in a shard is two hashes, one comparison and
+one slice, whatever the number of documents. Shards hold neighbouring keys and say their first and last one, so the shard of a key is found by
+ranges, of the files first and then of a file's shards, and neither the keys nor the ids of other shards are read.
 
 Documents are range-partitioned by key, so the files hold them in ascending order; shards are cut at a bounded number of ids and of
 documents, so neither a task nor a reader holds more than one shard. A file written twice after a lost executor is the same file.
@@ -30,16 +31,21 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from .bpe import SLICE_CHARS, byte_letters, load, slices
-from .common import shared_dir
+from .common import shared_dir, staged
 
 SHARD_IDS, SHARD_DOCS = 1_000_000, 50_000
 #: Words, and pieces of words, whose ids a worker remembers; at the bound the memory starts anew.
 MEMORY = 400_000
+#: Longer ones are encoded anew each time.
+WORD_CHARS = 64
 #: Fixed pattern of the tokenizers whose plain words take the short way, and what it comes to on those: lower case, no combining marks.
 PIECES = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 PLAIN = re.compile("[!-~\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
 PLAIN_TEXT = re.compile("[ \t-\r!-~\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
 PLAIN_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^ \t-\ra-z0-9\xdf-\xf6\xf8-\xff]+")
+ROW_GROUP = 8_000_000
+#: Up to so many shards, a look-up names them to the reader.
+NAMED = 1000
 #: Mean number of keys in a bucket of the hash.
 BUCKET = 2
 #: Seeds that are tried at a time.
@@ -53,6 +59,8 @@ SCHEMA = T.StructType(
         T.StructField("start", T.LongType()),
         T.StructField("n_ids", T.LongType()),
         T.StructField("n_null", T.IntegerType()),
+        T.StructField("first", T.LongType()),
+        T.StructField("last", T.LongType()),
         T.StructField("keys", T.BinaryType()),
         T.StructField("offsets", T.BinaryType()),
         T.StructField("seeds", T.BinaryType()),
@@ -130,6 +138,9 @@ class Shard:
             return range(0)
         return range(int(slot["row"]), int(slot["row"]) + int(slot["rows"]))
 
+    def key_at(self, row: int) -> int:
+        return int(self.keys[row - self.n_null])
+
     def raw(self, row: int) -> memoryview:
         return self.payload[4 * self.offsets[row] : 4 * self.offsets[row + 1]]
 
@@ -145,9 +156,20 @@ class Known(dict):
         self.encode = encode
 
     def __missing__(self, word: str) -> bytes:
-        ids = self[word] = self.encode(word)
+        ids = self.encode(word)
+        if len(word) <= WORD_CHARS:
+            self[word] = ids
         return ids
 
+    def joined(self, words: list[str]) -> bytes:
+        """Ids of the words in turn; the memory stays bounded inside a text too."""
+        parts: list[bytes] = []
+        for at in range(0, len(words), MEMORY // 4):
+            parts += map(self.__getitem__, words[at : at + MEMORY // 4])
+            if len(self) > MEMORY:
+                self.clear()
+        return b"".join(parts)
+
 
 class WordCache:
     """Ids by the tokenizers library; where white space ends every token, word by word with a bounded memory of words.
@@ -191,16 +213,11 @@ class WordCache:
         if not self.by_word:
             return [self._whole(x) for x in texts]
         out = []
-        piece = self.pieces.__getitem__
         for x in texts:
             if self.plain and PLAIN_TEXT.fullmatch(x) and not ("<|" in x and any(s in x for s in self.special)):
-                out.append(b"".join(map(piece, PLAIN_PIECES.findall(x.lower()))))
+                out.append(self.pieces.joined(PLAIN_PIECES.findall(x.lower())))
             else:
-                out.append(b"".join(map(self.words.__getitem__, BLANKS.split(x) if ODD_BLANKS.search(x) else x.split())))
-            if len(self.words) > MEMORY:
-                self.words.clear()
-            if len(self.pieces) > MEMORY:
-                self.pieces.clear()
+                out.append(self.words.joined(BLANKS.split(x) if ODD_BLANKS.search(x) else x.split()))
         return out
 
 
@@ -215,8 +232,8 @@ def _shard(part: int, shard: int, start: int, keys: list, sizes: list[int], part
     distinct, first, counts = np.unique(own, return_index=True, return_counts=True)
     seeds, slots = build_index(distinct, first + n_null, counts)
     offsets = np.concatenate([[0], np.cumsum(sizes)]).astype("<i8")
-    row = [part, shard, start, int(offsets[-1]), n_null, own.astype("<i8").tobytes(), offsets.tobytes(), seeds, slots, b"".join(parts)]
-    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 5]
+    row = [part, shard, start, int(offsets[-1]), n_null, *((int(own[0]), int(own[-1])) if len(own) else (None, None)), own.astype("<i8").tobytes(), offsets.tobytes(), seeds, slots, b"".join(parts)]
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 5]
     return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], SCHEMA.names)
 
 
@@ -253,7 +270,8 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int, key: st
             yield _shard(part, shard, start, keys, sizes, parts)
 
     dealt = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).repartitionByRange("key").sortWithinPartitions("key", "text")
-    dealt.mapInArrow(run, SCHEMA).write.parquet(out)
+    # Row groups of a few shards, so that a reader of one skips the others.
+    dealt.mapInArrow(run, SCHEMA).write.option("parquet.block.size", ROW_GROUP).option("parquet.block.size.row.check.min", 1).parquet(out)
 
 
 def read_tokens(spark: SparkSession, out: str, key: str = "doc_id") -> DataFrame:
@@ -282,15 +300,41 @@ def read_tokens(spark: SparkSession, out: str, key: str = "doc_id") -> DataFrame
     return shards.mapInArrow(run, schema)
 
 
+def shards_of(spark: SparkSession, out: str, wanted: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Rows ``part, shard, asked`` for the shards in whose range of keys wanted ones lie; the ranges alone are read.
+
+    The driver holds two keys a file; a file's shards are found by a join on the file.
+    """
+    ranges = spark.read.schema(SCHEMA).parquet(out).where("first is not null").select("part", "shard", "first", "last")
+    files = ranges.groupBy("part").agg(F.min("first").alias("first"), F.max("last").alias("last")).orderBy("first").collect()
+    firsts, parts = np.array([f["first"] for f in files], dtype=np.int64), np.array([f.part for f in files], dtype=np.int32)
+    asked = wanted.select(F.col(key).cast("long").alias("key")).where("key is not null").distinct()
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column("key").to_numpy()
+            at = np.searchsorted(firsts, keys, "right") - 1
+            yield pa.RecordBatch.from_arrays([pa.array(keys[at >= 0]), pa.array(parts[at[at >= 0]], pa.int32())], ["key", "part"])
+
+    routed = asked.mapInArrow(route, "key long, part int")
+    held = routed.join(ranges, "part").where((F.col("first") <= F.col("key")) & (F.col("key") <= F.col("last")))
+    return held.groupBy("part", "shard").agg(F.collect_set("key").alias("asked"))
+
+
+def named(spark: SparkSession, out: str, pairs: DataFrame) -> DataFrame:
+    """The shards below ``out`` that ``pairs`` name; a bounded number of them is told to the reader, which skips other files and row groups."""
+    shards = spark.read.schema(SCHEMA).parquet(out)
+    some = pairs.select("part", "shard").limit(NAMED + 1).collect()
+    if len(some) <= NAMED:
+        shards = shards.where(F.col("part").isin(sorted({r.part for r in some})) & F.col("shard").isin(sorted({r.shard for r in some})))
+    return shards.join(pairs, ["part", "shard"])
+
+
 def lookup(spark: SparkSession, out: str, wanted: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Rows ``key, ids`` for the keys of ``wanted``, found by index: ids are read only from shards that hold a wanted key.
+    """Rows ``key, ids`` for the keys of ``wanted``: ids are read only from shards in whose range a wanted key lies, and found there by the index.
 
     A key that occurs several times gives a row each; one that isn't there gives none; null keys aren't looked up.
     """
-    shards = spark.read.schema(SCHEMA).parquet(out)
-    held = shards.select("part", "shard", "keys").mapInArrow(_keys, "key long, part int, shard int")
-    asked = wanted.select(F.col(key).cast("long").alias("key")).where("key is not null").distinct()
-    pairs = asked.join(held, "key").groupBy("part", "shard").agg(F.collect_set("key").alias("asked"))
     schema = T.StructType([T.StructField(key, T.LongType()), T.StructField("ids", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,17 +342,10 @@ def lookup(spark: SparkSession, out: str, wanted: DataFrame, key: str = "doc_id"
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 shard = Shard(row)
-                found = [(k, shard.ids(r).tolist()) for k in row["asked"] for r in shard.rows_of(k)]
+                found = [(k, shard.ids(r)) for k in row["asked"] for r in shard.rows_of(k) if shard.key_at(r) == k]
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([x for _, x in found], pa.list_(pa.int64()))], schema.names)
 
-    return shards.join(pairs, ["part", "shard"]).mapInArrow(run, schema)
-
-
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for r in batch.to_pylist():
-            keys = np.unique(np.frombuffer(r["keys"], "<i8"))
-            yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array([r[c]] * len(keys), pa.int32()) for c in ("part", "shard"))], ["key", "part", "shard"])
+    return named(spark, out, staged(shards_of(spark, out, wanted, key), "asked")).mapInArrow(run, schema)
 
 
 def op4_token_ids(spark, sf_dir: str) -> DataFrame:
