@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower, let, staged, whole
+from .common import BLANKS, ascii_lower, fresh, let, staged, whole
 
 SALTS = 64
 #: Defaults of the operator: shorter lines and lines in fewer documents stay.
@@ -45,7 +45,8 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
         .where("h is not null")
         .select("h.h1", "h.h2", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int").alias("salt"), "doc", "text_id", "pos")
     )
-    dealt = lines.repartitionByRange("h1", "h2", "salt")
+    # Written once: the sampling of ranges, the counting and the marking all read hashes, not texts.
+    dealt = staged(lines, "lines").repartitionByRange("h1", "h2", "salt")
 
     # The stream: hash by hash in the order of documents (largest first), a row a position.
     same = Window.partitionBy("h1", "h2", "salt").orderBy(F.desc_nulls_last("doc"), "pos")
@@ -89,13 +90,14 @@ def apply_keep(docs: DataFrame, bitmaps: DataFrame, key: str = "doc_id", text: s
 
     The only step that moves texts, once. Columns named like the two new ones are replaced. A null text becomes empty.
     """
-    marks = bitmaps.select(F.col(key).alias("__key"), F.col("text_id").alias("__id"), F.col("drop_runs").alias("__runs"), F.col("n_dropped").alias("__n"))
+    k, i, r, n = fresh(docs.columns, "key", "id", "runs", "n")
+    marks = bitmaps.select(F.col(key).alias(k), F.col("text_id").alias(i), F.col("drop_runs").alias(r), F.col("n_dropped").alias(n))
     own = docs.withColumn(text, whole(F.col(text)))
-    joined = own.join(marks, F.col(key).eqNullSafe(F.col("__key")) & (text_id(F.col(text)) == F.col("__id")), "left")
+    joined = own.join(marks, F.col(key).eqNullSafe(F.col(k)) & (text_id(F.col(text)) == F.col(i)), "left")
     lines = F.split(F.col(text), "\n", -1)
-    cut = F.when(F.col("__runs").isNull(), F.col(text)).otherwise(F.array_join(kept_lines(lines, F.col("__runs")), "\n"))
+    cut = F.when(F.col(r).isNull(), F.col(text)).otherwise(F.array_join(kept_lines(lines, F.col(r)), "\n"))
     n_lines = (F.octet_length(text) - F.octet_length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1).cast("long")
-    out = {"n_lines": n_lines, "n_dropped": F.coalesce("__n", F.lit(0)).cast("long"), text: cut}
+    out = {"n_lines": n_lines, "n_dropped": F.coalesce(n, F.lit(0)).cast("long"), text: cut}
     return joined.select(*[F.col(c) for c in docs.columns if c not in out], *[v.alias(c) for c, v in out.items()])
 
 
@@ -111,7 +113,9 @@ WITH lines AS (
   FROM documents),
 keyed AS (
   SELECT doc_id, pos, line,
-    translate(regexp_replace(line, '^[ 	-]+|[ 	-]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+    translate(regexp_replace(line, '^[ 	-
+]+|[ 	-
+]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
   FROM lines),
 common AS (
   SELECT k, max(doc_id) AS keeper FROM keyed WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
