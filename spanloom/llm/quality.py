@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK_CLASS, WORD_CLASS, let, whole
+from .common import BLANK_CLASS, WORD_CLASS, fresh, let, whole
 
 SYMBOLS = "[#*$%&|<>]"
 #: A document is rejected that loses more than this share of its characters in words to the line rules.
@@ -17,13 +17,17 @@ MAX_LOST = 0.3
 MAX_SYMBOLS, MIN_MARKS = 0.1, 4
 #: It also fails with more runs of repeated ! or ? than this share of its words, and on navigation with more lone separators than this share.
 MAX_SHOUTS, MAX_SEPARATORS = 0.3, 0.2
-#: Boilerplate phrases count in lines of up to so many code points; a longer line is prose that happens to hold one.
-BOILERPLATE_CHARS = 240
-BOILERPLATE = (
-    r"(?i)\b(all rights reserved|terms of (use|service)|privacy policy|cookie policy|accept (all )?cookies|click here"
-    r"|sign (in|up) (to|for|now)|log in to|subscribe (to|now)|share this|follow us|skip to (main )?content|back to top"
-    r"|lorem ipsum|enable javascript)\b"
-)
+#: A line fails as boilerplate if phrases of this kind make up such a share of its characters in words, however long it is: prose that mentions one passes.
+MIN_PHRASES = 0.25
+#: Phrases in English, French, German and Spanish.
+PHRASES = (
+    "all rights reserved", "terms of (?:use|service)", "privacy policy", "cookie policy", "accept (?:all )?cookies", "click here", "sign (?:in|up) (?:to|for|now)", "log in to",
+    "subscribe (?:to|now)", "share this", "follow us", "skip to (?:main )?content", "back to top", "lorem ipsum", "enable javascript",
+    "tous droits réservés", "conditions d'utilisation", "politique de confidentialité", "accepter (?:tous )?les cookies", "cliquez ici", "haut de page",
+    "alle rechte vorbehalten", "nutzungsbedingungen", "datenschutzerklärung", "alle cookies akzeptieren", "hier klicken", "nach oben",
+    "todos los derechos reservados", "términos (?:y condiciones|de uso)", "política de privacidad", "aceptar (?:todas )?las cookies", "haga clic aquí", "volver arriba",
+)
+BOILERPLATE = rf"(?i)(?:{'|'.join(PHRASES)})"
 WINDOW = 5
 MIN_WORDS = 10
 #: Base rule: more than this percentage of words in repeated windows fails the document.
@@ -72,7 +76,8 @@ def line_fails(line: Column) -> Column:
     loud = (shouts >= MIN_MARKS) & (shouts > MAX_SHOUTS * n_words)
     separators = F.regexp_count(line, F.lit(r"(?<![^\x20\x09-\x0D])[|/>»·•]+(?![^\x20\x09-\x0D])"))
     navigation = (separators >= 2) & (separators > MAX_SEPARATORS * n_words)
-    boilerplate = (F.char_length(line) <= BOILERPLATE_CHARS) & F.rlike(line, F.lit(BOILERPLATE))
+    phrases = F.array_join(F.regexp_extract_all(line, F.lit(BOILERPLATE), F.lit(0)), "")
+    boilerplate = F.when(F.rlike(line, F.lit(BOILERPLATE)), chars_in_words(phrases) >= MIN_PHRASES * chars_in_words(line)).otherwise(F.lit(False))
     return punctuation | loud | navigation | boilerplate
 
 
@@ -130,10 +135,12 @@ def cleaned(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars"
     """The kept rows with the failed lines gone from ``text``; the columns are those of ``docs``, ``n_chars`` counted anew if there."""
     # One expression judges, filters and hands on the text; a filter behind a projection would judge each document twice.
     passed = F.filter(F.array(_quality(text, max_lost)), lambda q: q["kept"])
-    kept = docs.select("*", F.explode(passed).alias("__quality"))
-    new = {text: F.col("__quality.clean_text")}
+    (q,) = fresh(docs.columns, "quality")
+    kept = docs.select("*", F.explode(passed).alias(q))
+    clean = F.col(q)["clean_text"]
+    new = {text: clean}
     if n_chars in docs.columns:
-        new[n_chars] = F.char_length("__quality.clean_text").cast(docs.schema[n_chars].dataType)
+        new[n_chars] = F.char_length(clean).cast(docs.schema[n_chars].dataType)
     return kept.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 
@@ -143,12 +150,13 @@ def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
     return measured(docs).select("doc_id", *[f"quality.{f}" for f in fields])
 
 
+_PHRASES_SQL = BOILERPLATE.replace("'", "''")
 _LINE_FAILS = rf"""
   (length(regexp_extract_all(line, '{SYMBOLS}')) >= {MIN_MARKS} AND length(regexp_extract_all(line, '{SYMBOLS}')) > {MAX_SYMBOLS} * length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g')))
   OR (length(regexp_extract_all(line, '[!?]{{2,}}')) >= {MIN_MARKS} AND length(regexp_extract_all(line, '[!?]{{2,}}')) > {MAX_SHOUTS} * length(regexp_extract_all(line, '{WORD_CLASS}')))
   OR (len(list_filter(regexp_extract_all(line, '{WORD_CLASS}'), lambda w: regexp_full_match(w, '[|/>»·•]+'))) >= 2
       AND len(list_filter(regexp_extract_all(line, '{WORD_CLASS}'), lambda w: regexp_full_match(w, '[|/>»·•]+'))) > {MAX_SEPARATORS} * length(regexp_extract_all(line, '{WORD_CLASS}')))
-  OR (length(line) <= {BOILERPLATE_CHARS} AND regexp_matches(line, '{BOILERPLATE}'))
+  OR (regexp_matches(line, '{_PHRASES_SQL}') AND length(regexp_replace(array_to_string(regexp_extract_all(line, '{_PHRASES_SQL}'), ''), '[\x20\x09-\x0D]+', '', 'g')) >= {MIN_PHRASES} * length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g')))
 """
 
 OP9_SQL = rf"""
