@@ -186,6 +186,7 @@ def test_leaks_equal_brute_force(spark):
                 words[at : at + r.randrange(2)] = [] if r.random() < 0.3 else [f"v{r.random()}"]
             filler = [f"w{r.randrange(300)}" for _ in range(r.randrange(40))]
             texts.append(" ".join([*filler, *(w.upper() + "!" for w in words), *filler]))
+    texts.append(items[0][1].upper() + ".")
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, leaks string")
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, x.item_id): x.distance for r in D.with_leaks(df, bench).collect() for x in r.leaks}
@@ -194,9 +195,9 @@ def test_leaks_equal_brute_force(spark):
         for i, item in items[:8]:
             words = item.split()
             best = plain_distance(words, D.words_of(t))[0]
-            if best <= int(D.ERRORS * len(words)):
+            if best <= int(D.ERRORS * len(words)) if len(words) >= D.LEAST_WORDS else words == D.words_of(t):
                 want[d, i] = best
-    assert got == want and len(want) > 40
+    assert got == want and len(want) > 20 and (len(texts) - 1, 0) in want
 
 
 def test_benchmark_in_blocks_and_empty(spark, monkeypatch):
@@ -208,6 +209,29 @@ def test_benchmark_in_blocks_and_empty(spark, monkeypatch):
     assert [list(r.leaks) for r in D.with_leaks(df, bench.where("false")).collect()] == [[], []]
 
 
+def test_ten_blocks_find_what_one_does(spark, monkeypatch):
+    r = random.Random(8)
+    items = [(i, " ".join(f"w{r.randrange(50)}" for _ in range(12))) for i in range(40)]
+    texts = [None, "", *[" ".join(t if r.random() < 0.2 else f"w{r.randrange(50)}" for _, t in r.sample(items, 15)) for _ in range(60)]]
+    df = spark.createDataFrame([(i % 50, t, i) for i, t in enumerate(texts)], "doc_id long, text string, found long")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    one = sorted((r.doc_id, r["found"], [tuple(x) for x in r.leaks]) for r in D.with_leaks(df, bench).collect())
+    original, alive = D.blocks, []
+    monkeypatch.setattr(D, "blocks", lambda b: original(b, 170))
+    assert len(list(D.blocks(bench))) >= 10
+    destroy = D.Broadcast.destroy
+    monkeypatch.setattr(D.Broadcast, "destroy", lambda self, blocking=False: (alive.append(1), destroy(self, blocking))[1])
+    assert sorted((r.doc_id, r["found"], [tuple(x) for x in r.leaks]) for r in D.with_leaks(df, bench).collect()) == one
+    assert len(alive) == len(list(D.blocks(bench))) and sum(len(x[2]) for x in one) > 40
+
+
+def test_scripts_without_spaces_are_found():
+    item = "今日はとても良い天気なので公園へ散歩に行きました"
+    ready = D.Items([(1, item), (2, "yes")], D.ERRORS)
+    assert [x[:2] for x in ready.leaks("前文。" + item.replace("良", "悪") + "後文。yes and no")] == [(1, 1)]
+    assert D.words_of("abc 天気ab cd") == ["abc", "天", "気", "ab", "cd"]
+
+
 def test_registered_queries():
     names = queries()
     assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)] and set(oracle_sql()) <= set(names)

@@ -53,6 +53,13 @@ def test_line_rules_keep_prose_and_reject_junk(spark):
     assert quality.cleaned(table).columns == table.columns and quality.cleaned(table.where("false")).count() == 0
 
 
+def test_boilerplate_is_a_share_of_the_line(spark):
+    long = "Our lawyers read the privacy policy of each company, and after some weeks they had more questions than answers about it."
+    lines = ["All rights reserved.", "© 2020 Someone. Tous droits réservés", long, "Click here", "privacy policy | terms of use " * 30, "They click here and there on the page while the others wait for the whole thing to end, as people do."]
+    got = [r.f for r in docs(spark, lines).orderBy("doc_id").select(quality.line_fails(F.col("text")).alias("f")).collect()]
+    assert got == [True, True, False, True, True, False]
+
+
 def plain_dedup(rows, least=20, most=3):
     key = lambda line: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in line.strip(BLANK))
     held = defaultdict(set)

@@ -70,6 +70,41 @@ def test_shards_hold_what_the_library_gives(spark, tmp_path, path):
     assert got == sorted((k, tuple(ids(t))) for k, t in rows if k in (7, 3))
 
 
+def test_a_key_is_looked_up_in_one_shard(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_store, "SHARD_DOCS", 50)
+    rows = [(2 * i, f"document number {i}") for i in range(2000)]
+    out = str(tmp_path / "ids")
+    token_store.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), out, WORDS, end_id=2)
+    n_shards = spark.read.parquet(out).count()
+    assert n_shards >= 40
+    own = Tokenizer.from_file(WORDS)
+    for key, there in ((0, True), (2222, True), (3998, True), (2223, False), (-1, False), (4001, False)):
+        asked = spark.createDataFrame([(key,)], "doc_id long")
+        pairs = token_store.shards_of(spark, out, asked)
+        assert pairs.count() <= 1
+        read = token_store.named(spark, out, pairs)
+        assert "PushedFilters: [In(part" in read._jdf.queryExecution().toString() or pairs.count() == 1 or not there
+        got = [list(r.ids) for r in token_store.lookup(spark, out, asked).collect()]
+        assert got == ([[*own.encode(rows[key // 2][1], add_special_tokens=False).ids, 2]] if there else [])
+
+
+def test_one_text_of_very_many_words_keeps_memory_bounded(monkeypatch):
+    monkeypatch.setattr(token_store, "MEMORY", 1000)
+    cache = token_store.WordCache(open(WORDS).read())
+    text = " ".join(f"w{i}ord" for i in range(20_000)) + " " + "x" * 5000
+    assert cache.encode([text])[0] == np.array(Tokenizer.from_file(WORDS).encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    assert len(cache.words) <= 1500 and len(cache.pieces) <= 1500
+
+
+def test_offsets_equal_the_library():
+    own, align = Tokenizer.from_file(BYTE), chat.Aligner(open(BYTE).read())
+    assert align.bpe is not None and chat.Aligner(open(WORDS).read()).bpe is None
+    for t in odd_texts(400):
+        e = own.encode(t or "", add_special_tokens=False)
+        ids, starts, ends = align(t or "")
+        assert ids.tolist() == e.ids and list(zip(starts.tolist(), ends.tolist(), strict=True)) == e.offsets
+
+
 def test_empty_table_has_no_shards(spark, tmp_path):
     token_store.write_tokens(table(spark, ["x"]).where("false"), str(tmp_path / "e"), WORDS, 2)
     assert token_store.read_tokens(spark, str(tmp_path / "e")).count() == 0
