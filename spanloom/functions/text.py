@@ -155,3 +155,9 @@ def passage(embedding_text: Column, text: Column, size: int = 1400) -> Column:
 def index_text(embedding_text: Column, text: Column, header: Column) -> Column:
     """What is indexed of a segment: its embedding text, else its text, else its header; null if all are blank."""
     return F.coalesce(non_empty(strip(embedding_text)), non_empty(strip(text)), non_empty(strip(header)))
+
+
+def drawn(*parts: Column | str) -> Column:
+    """A number of 60 bits drawn from the parts, the same in any engine: the first 15 hexadecimal digits of the MD5 of the parts joined by bars."""
+    own = [p if isinstance(p, Column) else F.lit(p) for p in parts]
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in own])), 1, 15), 16, 10).cast("long")

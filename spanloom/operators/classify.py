@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import unicodedata
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
@@ -15,7 +16,7 @@ from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.functions.text import tokens, word_ngrams
+from spanloom.functions.text import drawn, tokens, word_ngrams
 from spanloom.operators.metrics import ratio
 
 SEED, TEST, VALIDATION = 42, 0.2, 0.16
@@ -26,8 +27,21 @@ STRUCTURAL = (
     "relative_position", "is_first", "is_last", "is_preamble", "log_char_len", "is_oversized_split", "is_undersized", "has_parent", "header_tokens", "header_has_digit",
     *(f"scheme_{s}" for s in SCHEME_COLUMNS),
 )
-#: Accents that are taken off before words are cut (letters of Latin scripts; others pass).
-ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+
+
+def _plain_letters() -> tuple[str, str]:
+    """Letters that compatibility decomposition makes one letter and marks, with that letter, and the marks, which go."""
+    found = {}
+    for c in map(chr, range(0x80, 0x2FA20)):
+        bare = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if c != bare and len(bare) == 1 and not 0xAC00 <= ord(c) < 0xD7A4:
+            found[c] = bare
+    marks = "".join(c for c in map(chr, range(0x300, 0x1E95B)) if unicodedata.combining(c))
+    return "".join(found) + marks, "".join(found.values())
+
+
+#: Accents and other marks that are taken off before words are cut. What decomposes into several letters (ligatures, fractions, Hangul) stays whole.
+ACCENTS = _plain_letters()
 
 
 def structural(rows: DataFrame) -> DataFrame:
@@ -113,7 +127,7 @@ def split_by_contract(rows: DataFrame, test: float = TEST, validation: float = 0
     driver sees at once.
     """
     own = F.col("contract_id").cast("string")
-    place = F.struct(F.xxhash64(F.lit(seed), own).alias("hash"), own.alias("id"))
+    place = F.struct(drawn(F.lit(seed), own).alias("hash"), own.alias("id"))
     ids = rows.select(F.inline(F.array(place))).distinct()
     n = ids.count()
     held = min(n, max(1, round(test * n)))

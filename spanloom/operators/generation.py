@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import re
 import time
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
+from importlib import import_module
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.functions.text import NO_ANSWER, TRANSIENT, declines, is_transient, strip, yes_no
+from spanloom.functions.text import NO_ANSWER, TRANSIENT, declines, drawn, is_transient, strip, yes_no
 from spanloom.operators.metrics import ratio, score_rows
 from spanloom.operators.rank import attach_segments
 from spanloom.schemas import RUN_LOG, RUN_LOG_VERSION, struct
@@ -115,7 +117,9 @@ def register_backend(name: str, default_model: str, client: Callable[..., Callab
 
 
 def build_backend(name: str, model: str | None = None, temperature: float = TEMPERATURE, max_tokens: int = MAX_TOKENS, extra: dict | None = None, **settings) -> Backend:  # noqa: ANN003
-    """A registered backend (``spanloom.operators.clients`` registers three); a ValueError names those that are known."""
+    """A registered backend (``spanloom.operators.clients`` registers three and is imported if need be); a ValueError names those that are known."""
+    if name not in _CLIENTS:
+        import_module("spanloom.operators.clients")
     if name not in _CLIENTS:
         raise ValueError(f"unknown backend {name!r}; known: {sorted(_CLIENTS)}")
     default, client = _CLIENTS[name]
@@ -212,6 +216,25 @@ def rejudged(log: DataFrame, judge: Backend) -> DataFrame:
     return judged(rows, judge).drop("chunks").select(*schema.names)
 
 
+def rejudged_path(log_path: str, judge: Backend) -> str:
+    """Where the rows of a stored run under another judge go: beside the run, named by the judge."""
+    return f"{log_path.rstrip('/').removesuffix('.jsonl')}__{judge.name}_{re.sub('[^A-Za-z0-9.]+', '-', judge.model)}"
+
+
+ZERO_SHOT_CATEGORIES, ZERO_SHOT_ROWS = 3, 16
+
+
+def zero_shot_run(labelled: DataFrame, questions: dict[str, str], backend: Backend, rows: int = ZERO_SHOT_ROWS) -> DataFrame:
+    """The diagnostic over up to three categories (``questions``: category to question): half of the examples of each with it, half without, all scored in one table."""
+    if not 0 < len(questions) <= ZERO_SHOT_CATEGORIES:
+        raise ValueError(f"ask for one to {ZERO_SHOT_CATEGORIES} categories")
+    out = None
+    for category, question in questions.items():
+        part = zero_shot(class_sample(labelled, category, rows // 2), question, backend).withColumn("category", F.lit(category))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def judge_summary(rows: DataFrame, *by: str) -> DataFrame:
     """Counts of the six labels, faithful and partly faithful shares of the scored rows (null without any), abstention and coverage of all."""
     label = F.col("judge_label")
@@ -245,10 +268,14 @@ def stop_after_failures(rows: DataFrame, order: str, run: int = EARLY_STOP, by:
 
 def stratified_sample(eval_rows: DataFrame, gold: int = GOLD_ROWS, absent: int = ABSENT_ROWS, seed: int = SAMPLE_SEED) -> DataFrame:
     """Exactly so many rows with and without gold (or all there are), drawn by a hash of seed and row, with ``sample_order`` for a mixed order."""
-    draw = F.xxhash64(F.lit(seed), F.col("contract_id").cast("string"), "category")
-    w = Window.partitionBy("has_gold_span").orderBy(draw, "contract_id", "category")
-    picked = eval_rows.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= F.when(F.col("has_gold_span"), gold).otherwise(absent))
-    return picked.drop("__r").withColumn("sample_order", F.xxhash64(F.lit(seed + 1), F.col("contract_id").cast("string"), "category"))
+    draw = drawn(F.lit(seed), F.col("contract_id"), F.col("category"))
+
+    def first(rows: DataFrame, n: int) -> DataFrame:
+        # The first rows of each partition go on, so a side is never sorted in one task.
+        return rows.orderBy(draw, "contract_id", "category").limit(n)
+
+    picked = first(eval_rows.where("has_gold_span"), gold).unionByName(first(eval_rows.where("not has_gold_span"), absent))
+    return picked.withColumn("sample_order", drawn(F.lit(seed + 1), F.col("contract_id"), F.col("category")))
 
 
 def class_sample(labelled: DataFrame, category: str, n: int = 8, min_chars: int = 20) -> DataFrame:

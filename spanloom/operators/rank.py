@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.functions.text import category_of, char_ngrams, clean_query, passage, stop_words, tokens, word_ngrams
+from spanloom.functions.text import category_of, char_ngrams, clean_query, drawn, passage, stop_words, tokens, word_ngrams
 from spanloom.functions.vectors import dot
 from spanloom.operators.spans import overlap
 from spanloom.sources.stage import staged
@@ -182,7 +182,7 @@ def fuse(rankings: list[tuple[DataFrame, float]], k: int, depth: int = DEPTH) ->
 def random_ranking(questions: DataFrame, segments: DataFrame, k: int, seed: int = 0) -> DataFrame:
     """``k`` segments of the contract without replacement, drawn by a hash of seed, question and span: the same on any cluster."""
     pairs = questions.select("query_id", "contract_id").join(segments.select("contract_id", *SPAN), "contract_id")
-    order = Window.partitionBy("query_id", "contract_id").orderBy(F.xxhash64(F.lit(seed), "query_id", *SPAN), *SPAN)
+    order = Window.partitionBy("query_id", "contract_id").orderBy(drawn(F.lit(seed), F.col("query_id"), *map(F.col, SPAN)), *SPAN)
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("score", F.lit(0.0)).select("query_id", "contract_id", *SPAN, "score", "rank")
 
 

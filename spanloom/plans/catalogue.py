@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from spanloom.functions.text import TOKEN, category_of, category_or_start, clean
 from spanloom.operators import classify, embed, extras, generation, metrics, rank, segment, spans
 from spanloom.plans.fixtures import EVAL_SQL, KINDS, STRUCTURED_SQL, contracts, eval_rows, segments, segments_sql, structured, structured_segments_sql, table
 from spanloom.sources import sinks
+from spanloom.sources.stage import new_path
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -338,7 +339,12 @@ def char_ngram_topk(spark: SparkSession, sf: str) -> DataFrame:
     return _shown(rank.lexical(eval_rows(spark, sf), segments(spark, sf), K, (3, 5), "char_wb"))
 
 
-@query()
+#: The draw of ``functions.text.drawn``.
+_DRAWN = "CAST('0x' || substr(md5({}), 1, 15) AS BIGINT)"
+
+
+@query(f"""{_BASE_SQL}, r AS (SELECT query_id, s.contract_id, start_char, end_char, row_number() OVER (PARTITION BY query_id ORDER BY {_DRAWN.format("'0|' || query_id || '|' || start_char || '|' || end_char")}, start_char, end_char) AS rank FROM ev JOIN seg s USING (contract_id))
+SELECT query_id, contract_id, start_char, end_char, 0.0::DOUBLE AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= {K}""")
 def random_baseline(spark: SparkSession, sf: str) -> DataFrame:
     return rank.random_ranking(eval_rows(spark, sf), segments(spark, sf), K)
 
@@ -522,8 +528,9 @@ def _training(spark: SparkSession, sf: str) -> DataFrame:
 _STRUCT_SQL = f"""WITH RECURSIVE {segments_sql()},
 st AS (SELECT contract_id, CAST(position AS INTEGER) AS position, position / count(*) OVER (PARTITION BY contract_id) AS relative_position, CASE WHEN position = 0 THEN 1.0 ELSE 0.0 END AS is_first,
   CASE WHEN position = count(*) OVER (PARTITION BY contract_id) - 1 THEN 1.0 ELSE 0.0 END AS is_last, ln(1 + length(text)) AS log_char_len, CASE WHEN length(text) < 175 THEN 1.0 ELSE 0.0 END AS is_undersized,
-  CASE WHEN n < 1200 THEN 0.0 ELSE 2.0 END AS header_tokens, CASE WHEN n < 1200 THEN 0.0 ELSE 1.0 END AS header_has_digit, 1.0 AS scheme_fallback FROM seg)"""
-_SHOWN = ("relative_position", "is_first", "is_last", "log_char_len", "is_undersized", "header_tokens", "header_has_digit", "scheme_fallback")
+  CASE WHEN n < 1200 THEN 0.0 ELSE 2.0 END AS header_tokens, CASE WHEN n < 1200 THEN 0.0 ELSE 1.0 END AS header_has_digit, 1.0 AS scheme_fallback,
+  0.0 AS is_preamble, 0.0 AS is_oversized_split, 0.0 AS has_parent, 0.0 AS scheme_article, 0.0 AS scheme_section_nn, 0.0 AS scheme_bare_nn FROM seg)"""
+_SHOWN = classify.STRUCTURAL
 
 
 @query(f"{_STRUCT_SQL} SELECT contract_id, position, {', '.join(f'round(CAST({c} AS DOUBLE), 6) AS {c}' for c in _SHOWN)} FROM st")
@@ -559,7 +566,9 @@ def definition_similarity(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(classify.similarity(docs, items))
 
 
-@query()
+@query(f"""WITH i AS (SELECT CAST(doc_id AS VARCHAR) AS contract_id, row_number() OVER (ORDER BY {_DRAWN.format("'42|' || doc_id")}, CAST(doc_id AS VARCHAR)) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT doc_id FROM documents)),
+h AS (SELECT *, CAST(greatest(1, round_even(0.2 * n, 0)) AS BIGINT) AS held FROM i), v AS (SELECT *, held + CAST(greatest(1, round_even(0.16 / 0.8 * (n - held), 0)) AS BIGINT) AS val FROM h)
+SELECT contract_id, CASE WHEN k <= held THEN 'test' WHEN k <= val THEN 'validation' ELSE 'train' END AS side FROM v""")
 def split_by_contract(spark: SparkSession, sf: str) -> DataFrame:
     parts = classify.split_by_contract(contracts(spark, sf).select("contract_id"), validation=classify.VALIDATION)
     out = None
@@ -703,20 +712,111 @@ def zero_shot_summary(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("accuracy", F.round("accuracy", 6)).withColumn("mean_latency_s", F.round("mean_latency_s", 4)).withColumn("total_latency_s", F.round("total_latency_s", 2))
 
 
-@query()
+@query(f"""WITH {EVAL_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY has_gold_span ORDER BY {_DRAWN.format("'42|' || contract_id || '|' || category")}, contract_id, category) AS k FROM ev)
+SELECT query_id, has_gold_span, {_DRAWN.format("'43|' || contract_id || '|' || category")} AS sample_order FROM r WHERE k <= CASE WHEN has_gold_span THEN 60 ELSE 20 END""")
 def stratified_sample(spark: SparkSession, sf: str) -> DataFrame:
     return generation.stratified_sample(eval_rows(spark, sf)).select("query_id", "has_gold_span", "sample_order")
 
 
-@query()
+def _scored_sql(name: str) -> str:
+    """The CTEs of _SCORE_SQL for the ranking ``name``, their names with it in front."""
+    out = f"top AS (SELECT * FROM {name} WHERE rank <= {K}), {_SCORE_SQL}"
+    for cte in ("top", "hits", "ret", "tot", "scored"):
+        out = re.sub(rf"\b{cte}\b(?= AS \(| [lhrt] | GROUP BY 1|$|\)|\n)", f"{name}_{cte}", out)
+    return out
+
+
+@query(f"""{_BASE_SQL}, {_tfidf_sql(False, name='la')}, {_tfidf_sql(True, name='lb')}, {_scored_sql('la')}, {_scored_sql('lb')},
+res AS (SELECT 'tfidf' AS variant, {_ROLL.replace('round(', '(').replace(', 6)', ')')} FROM la_scored UNION ALL SELECT 'tfidf_bigram', {_ROLL.replace('round(', '(').replace(', 6)', ')')} FROM lb_scored)
+SELECT variant, n_scored, n_skipped_no_gold, round(hit_rate, 6) AS hit_rate, round(gold_recall, 6) AS gold_recall, round(gold_density, 6) AS gold_density, round(mean_retrieved_chars, 6) AS mean_retrieved_chars,
+  round(hit_rate - (SELECT hit_rate FROM res WHERE variant = 'tfidf'), 6) AS hit_rate_delta FROM res""")
 def results_merge(spark: SparkSession, sf: str) -> DataFrame:
     """Two variants recorded one after the other in one table, with the difference to the first."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spanloom-results-")
-    path = f"{root}/results-{spark.sparkContext.applicationId}-{id(sf)}"
+    path = new_path(spark, "results")
     q, s = eval_rows(spark, sf), segments(spark, sf)
-    for name, ranking in (("tfidf", rank.lexical(q, s, K)), ("random", rank.random_ranking(q, s, K))):
+    for name, ranking in zip(("tfidf", "tfidf_bigram"), _two(spark, sf, K), strict=True):
         sinks.merge_result(metrics.roll_up(metrics.score_rankings(ranking, q, K)), path, name)
-    return sinks.versus(sinks.read_results(spark, path))
+    return _rounded(sinks.versus(sinks.read_results(spark, path)))
+
+
+# --- the named stacks -------------------------------------------------------------------------------------------------------------
+
+
+def _dense_of(spark: SparkSession, sf: str):  # noqa: ANN202
+    """A vector ranking over the embeddings table: a segment's vectors are those numbered by its contract and position, one without windows, two with."""
+    own = table(spark, sf, "embeddings").select(F.col("vec_id").alias("__v"), F.col("embedding").alias("vector"))
+    n = own.count()
+
+    def at(number):  # noqa: ANN001, ANN202
+        return F.pmod(number, F.lit(n))
+
+    def rank_of(q: DataFrame, s: DataFrame, k: int, windowed: bool) -> DataFrame:
+        number = F.col("contract_id").cast("long") * 31 + F.col("position") * 7
+        parts = F.array(*[F.struct(F.lit(i).alias("w"), at(number + i).alias("__v")) for i in range(2 if windowed else 1)])
+        records = s.select("contract_id", "position", "start_char", "end_char", F.inline(parts)).join(own, "__v")
+        records = records.withColumn("record_id", F.format_string("%08d#%d", "position", "w"))
+        asked = q.select("query_id", "contract_id", at(F.col("contract_id").cast("long") * 17 + F.char_length(F.element_at(F.split("query_id", "[|]"), 2))).alias("__v")).join(own, "__v")
+        return rank.dense(asked.drop("__v"), records, k, rank.OVERSAMPLE)
+
+    return rank_of
+
+
+def _vector_sql(name: str, windows: int, k: int) -> str:
+    return f"""
+{name}_n AS (SELECT count(*) AS n FROM embeddings),
+{name}_r AS (SELECT s.contract_id, s.start_char, s.end_char, printf('%08d#%d', s.position, w.w) AS rid, CAST(e.embedding AS DOUBLE[]) AS v FROM seg s, (SELECT unnest(range({windows})) AS w) w, {name}_n n JOIN embeddings e ON e.vec_id = (CAST(s.contract_id AS BIGINT) * 31 + s.position * 7 + w.w) % n.n),
+{name}_d AS (SELECT q.query_id, r.contract_id, r.start_char, r.end_char, rid, round(1 - list_dot_product(CAST(e.embedding AS DOUBLE[]), r.v), 9) AS distance FROM ev q, {name}_n n JOIN embeddings e ON e.vec_id = (CAST(q.contract_id AS BIGINT) * 17 + length(q.category)) % n.n JOIN {name}_r r ON r.contract_id = q.contract_id),
+{name}_o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, rid) AS seen FROM {name}_d),
+{name}_b AS (SELECT query_id, contract_id, start_char, end_char, min((distance, rid)) AS best FROM {name}_o WHERE seen <= {5 * k} GROUP BY ALL),
+{name} AS (SELECT query_id, contract_id, start_char, end_char, row_number() OVER (PARTITION BY query_id ORDER BY best) AS rank FROM {name}_b)"""
+
+
+def _fused_sql(name: str, *parts: str) -> str:
+    union = " UNION ALL ".join(f"SELECT query_id, contract_id, start_char, end_char, rank, {i} AS source, 1.0::DOUBLE / (60 + rank) AS part FROM {p} WHERE rank <= 20" for i, p in enumerate(parts))
+    return f"""
+{name}_f AS (SELECT query_id, contract_id, start_char, end_char, round(sum(part), 12) AS score, min(rank) FILTER (WHERE source = 0) AS lr, min(source * 1000 + rank) AS seen FROM ({union}) GROUP BY ALL),
+{name} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, lr NULLS LAST, seen) AS rank FROM {name}_f)"""
+
+
+def _primed_sql(name: str, base: str) -> str:
+    return f"""
+{name}_u AS (SELECT e.query_id, s.contract_id, s.start_char, s.end_char, s.position AS place FROM ev e JOIN prior USING (category) JOIN seg s USING (contract_id) WHERE s.position < 1
+  UNION ALL SELECT query_id, contract_id, start_char, end_char, 1000000 + rank FROM {base} WHERE rank <= {K + 1}),
+{name}_b AS (SELECT query_id, contract_id, start_char, end_char, min(place) AS place FROM {name}_u GROUP BY ALL),
+{name} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place) AS rank FROM {name}_b)"""
+
+
+def _reranked_sql(name: str, base: str, question: str) -> str:
+    shown = _EMBED.format(h="CASE WHEN s.n < 1200 THEN '' ELSE '[window ' || s.position || ']' END").replace("text", "s.text")
+    return f"""
+{name}_c AS (SELECT l.query_id, l.contract_id, l.start_char, l.end_char, l.rank, list_distinct(list_filter(regexp_split_to_array(lower({question}), '\\s+'), lambda w: w <> '')) AS qw,
+  list_filter(regexp_split_to_array(lower(substr({shown}, 1, 1400)), '\\s+'), lambda w: w <> '') AS pw
+  FROM {base} l JOIN ev e USING (query_id) JOIN seg s ON s.contract_id = l.contract_id AND s.start_char = l.start_char AND s.end_char = l.end_char WHERE l.rank <= 20),
+{name}_n AS (SELECT query_id, contract_id, start_char, end_char, rank AS old, round(len(list_intersect(qw, pw)) / greatest(1, len(qw)), 9) AS score FROM {name}_c),
+{name} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, old) AS rank FROM {name}_n)"""
+
+
+_CLEAN = """(CASE WHEN position('related to "' IN question) > 0 THEN regexp_extract(question, 'related to "([^"]+)"', 1) || '. ' || trim(regexp_extract(question, 'Details: (.*)$', 1, 's'), ' ' || chr(10) || chr(13) || chr(9)) ELSE question END)"""
+_STACKS_SQL = f"""{_BASE_SQL}, {_RATES_SQL}, prior AS (SELECT category FROM rates WHERE n >= 20 AND rate >= 0.6),
+{_tfidf_sql(False, name='s1')}, {_tfidf_sql(True, name='s2')}, {_tfidf_sql(True, question=_CLEAN, name='s3')}, {_tfidf_sql(False, name='s4', terms=_chars_sql)},
+{_vector_sql('v0', 1, K)}, {_vector_sql('v1', 2, K)}, {_vector_sql('v2', 2, 20)},
+{_fused_sql('h1', 's1', 'v2')}, {_fused_sql('h2', 's2', 'v2')}, {_fused_sql('h3', 's3', 'v2')}, {_fused_sql('h4', 's2', 'v2', 's4')},
+{_reranked_sql('r2', 'h2', 'e.question')}, {_reranked_sql('r3', 'h3', _CLEAN.replace('question', 'e.question'))},
+{_primed_sql('p2', 's2')}, {_primed_sql('ph2', 'h2')}, {_primed_sql('ph4', 'h4')}, {_primed_sql('pr2', 'r2')}, {_primed_sql('ph3', 'h3')}, {_primed_sql('pr3', 'r3')}"""
+_STACKS = {
+    "tfidf": "s1", "tfidf_bigram": "s2", "dense": "v0", "dense_win": "v1", "hybrid": "h1", "hybrid_bigram": "h2", "tfidf_bigram_prior": "p2", "hybrid_bigram_prior": "ph2", "hybrid_char_prior": "ph4",
+    "hybrid_bigram_rerank": "r2", "hybrid_bigram_prior_rerank": "pr2", "hybrid_bigram_prior_cleanq": "ph3", "hybrid_bigram_prior_cleanq_rerank": "pr3",
+}
+
+
+@query(_STACKS_SQL + " " + " UNION ALL ".join(f"SELECT '{n}' AS stack, query_id, contract_id, start_char, end_char, CAST(rank AS INTEGER) AS rank FROM {c} WHERE rank <= {K}" for n, c in _STACKS.items()))
+def ranking_stacks(spark: SparkSession, sf: str) -> DataFrame:
+    """All thirteen named stacks over the same questions, with vectors of the embeddings table."""
+    q, s, out = eval_rows(spark, sf), segments(spark, sf), None
+    for name, run in rank.variants(_dense_of(spark, sf), rank.fit_prior(q, s)).items():
+        rows = run(q, s, K).select(F.lit(name).alias("stack"), "query_id", "contract_id", "start_char", "end_char", "rank")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 # --- optional parts ---------------------------------------------------------------------------------------------------------------

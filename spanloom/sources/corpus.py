@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.schemas import CONTRACT, CORPUS, EVAL_ROW, RUN_LOG, TRAINING, require, struct
+from spanloom.sources.stage import staged
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
@@ -71,9 +73,12 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, limit: int | None =
 
 def read_training(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """Training segments; ``limit`` keeps the first contracts in the order of their ids, not rows. Fails if the file isn't there or lacks positions."""
-    found = spark.read.json(path)
     rows = spark.read.schema(struct(TRAINING)).json(path)
-    require(found, "contract_id", "segment_id", "text", "labels", "position")
+    # An old file lacks columns, which its first row shows without a pass over the rest.
+    needed = ["contract_id", "segment_id", "text", "labels", "position"]
+    first = rows.select(*needed).limit(1).collect()
+    if first and None in tuple(first[0]):
+        require(rows.select(*[c for c in needed if first[0][c] is not None]), *needed)
     if not limit:
         return rows
     ids = rows.select("contract_id").distinct().orderBy("contract_id").limit(limit)
@@ -105,16 +110,39 @@ def collection_name(model: str, windowed: bool = True, prefix: str = "contract_s
     return f"{prefix}_{model_tag(model)}{'_win' if windowed else ''}"
 
 
-def open_collection(spark: SparkSession, root: str, name: str, contract_id: str | None = None) -> DataFrame:
+#: Folders of a collection: contracts fall into so many by a hash.
+BUCKETS = 256
+
+
+def bucket_of(contract_id: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(contract_id), F.lit(buckets)).cast("int")
+
+
+def open_collection(spark: SparkSession, root: str, name: str, contract_id: str | None = None, buckets: int = BUCKETS) -> DataFrame:
     """Index records of a collection; with a contract only its folder is read."""
     rows = spark.read.parquet(f"{root}/{name}")
-    return rows.where(F.col("contract_id") == contract_id) if contract_id else rows
+    if contract_id is None:
+        return rows
+    bucket = spark.range(1).select(bucket_of(F.lit(contract_id), buckets)).collect()[0][0]
+    return rows.where((F.col("bucket") == bucket) & (F.col("contract_id") == contract_id))
+
+
+def data_version(spark: SparkSession, path: str) -> DataFrame:
+    """Rows ``path, md5, size`` of the files below a path: what a stored pointer to a version of the data says."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", F.md5("content").alias("md5"), F.col("length").alias("size"))
 
 
 def question_order(rows: DataFrame) -> DataFrame:
     """``query_id`` numbered from 0 in the order of contract and category."""
-    w = Window.orderBy("contract_id", "category")
-    return rows.withColumn("query_id", F.row_number().over(w) - 1)
+    # Ranks inside ranges plus the sizes of the ranges before, of which the driver sees one number each.
+    dealt = rows.repartitionByRange("contract_id", "category").withColumn("__part", F.spark_partition_id())
+    dealt = staged(dealt, "ordered")
+    sizes = sorted((r["__part"], r["count"]) for r in dealt.groupBy("__part").count().collect())
+    before = dict(zip([p for p, _ in sizes], accumulate([n for _, n in sizes], initial=0), strict=False))
+    start = F.element_at(F.create_map(*[F.lit(x) for p, n in before.items() for x in (p, n)]), F.col("__part")) if before else F.lit(0)
+    w = Window.partitionBy("__part").orderBy("contract_id", "category")
+    return dealt.withColumn("query_id", (start + F.row_number().over(w) - 1).cast("int")).drop("__part")
 
 
 def metric_key(name: str) -> str:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from datetime import UTC, datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.schemas import RUN_LOG, struct
-from spanloom.sources.corpus import metric_key
+from spanloom.sources.corpus import BUCKETS, bucket_of, metric_key
+from spanloom.sources.stage import staged
 
 
 class PartialRun(ValueError):
@@ -32,25 +34,33 @@ def write_text(rows: DataFrame, out: str) -> None:
     rows.write.mode("overwrite").text(out, lineSep="\n")
 
 
-def write_collection(records: DataFrame, root: str, name: str, reset: bool = True, buckets: int = 256) -> None:
+def write_collection(records: DataFrame, root: str, name: str, reset: bool = True, buckets: int = BUCKETS) -> None:
     """Index records, one folder a bucket of contracts; ``reset`` replaces the collection, else records of the same id are replaced.
 
-    Buckets of a hash keep the number of folders bounded whatever the number of contracts.
+    Buckets of a hash keep the number of folders bounded whatever the number of contracts. An upsert reads and writes only the buckets that it touches.
     """
     path = f"{root}/{name}"
-    rows = records.withColumn("bucket", F.pmod(F.xxhash64("contract_id"), F.lit(buckets)).cast("int"))
-    if not reset:
-        spark = records.sparkSession
-        try:
-            old = spark.read.parquet(path)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        else:
-            merged = old.join(rows.select("record_id"), "record_id", "left_anti").unionByName(rows)
-            merged.write.mode("overwrite").parquet(f"{path}__next")
-            rows = spark.read.parquet(f"{path}__next")
-    rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    rows = records.withColumn("bucket", bucket_of(F.col("contract_id"), buckets))
+    if reset:
+        rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+        return
+    rows = staged(rows, "upsert")
+    touched = [r.bucket for r in rows.select("bucket").distinct().collect()]
+    try:
+        old = records.sparkSession.read.parquet(path).where(F.col("bucket").isin(touched))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        merged = rows
+    else:
+        merged = staged(old.join(rows.select("record_id"), "record_id", "left_anti").unionByName(rows), "upsert")
+    merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def drop_collection(spark: SparkSession, root: str, name: str) -> bool:
+    """Remove a collection; False if there is none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ingest_stats(segments: DataFrame, records: DataFrame) -> DataFrame:
@@ -85,10 +95,13 @@ def append_log(rows: DataFrame, path: str) -> None:
     rows.select(*struct(RUN_LOG).names).write.mode("append").json(path)
 
 
-def log_run(spark: SparkSession, path: str, name: str, params: dict, metrics: dict[str, float], tags: dict[str, str] | None = None) -> None:
-    """One row of an experiment table."""
-    row = (name, datetime.now(UTC).isoformat(), {k: str(v) for k, v in params.items()}, {metric_key(k): float(v) for k, v in metrics.items()}, tags or {})
-    schema = "name string, timestamp string, params map<string,string>, metrics map<string,double>, tags map<string,string>"
+def log_run(
+    spark: SparkSession, path: str, name: str, params: dict, metrics: dict[str, float], tags: dict[str, str] | None = None, per_category: dict[str, dict[str, float]] | None = None, artifact: str | None = None
+) -> None:
+    """One row of an experiment table. Figures of categories are metrics named ``metric/category``; ``artifact`` is a text that is kept with the run."""
+    own = {**metrics, **{f"{m}/{c}": v for c, figures in (per_category or {}).items() for m, v in figures.items()}}
+    row = (name, datetime.now(UTC).isoformat(), {k: str(v) for k, v in params.items()}, {metric_key(k): float(v) for k, v in own.items()}, tags or {}, artifact)
+    schema = "name string, timestamp string, params map<string,string>, metrics map<string,double>, tags map<string,string>, artifact string"
     spark.createDataFrame([row], schema).write.mode("append").parquet(path)
 
 

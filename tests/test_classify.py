@@ -100,3 +100,8 @@ def test_vocabulary_holds_all_terms_in_range(spark):
     words = spark.range(0, 3000, 1, 4).selectExpr("array_join(transform(sequence(0, 269), i -> concat('w', (id % 1000) * 270 + i)), ' ') as text")
     got = C.TextFeatures.fit(words)
     assert len(got.model.vocabulary) == len(got.idf) == 270_000 > 1 << 18 and set(got.idf) == {math.log(3001 / 4) + 1}
+
+
+def test_marks_of_any_script_are_taken_off(spark):
+    df = spark.createDataFrame([("Čapek e\u0301tude ÅNGSTRÖM ńame ά й naïve ﬁne",)], "text string")
+    assert df.select(C.unaccented(F.col("text"))).collect()[0][0] == "capek etude angstrom name α и naive ﬁne"

@@ -127,3 +127,13 @@ def test_stratified_sample(spark):
     got = G.stratified_sample(df)
     assert {r.has_gold_span: r["count"] for r in got.groupBy("has_gold_span").count().collect()} == {True: 60, False: 20}
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, G.stratified_sample(df.repartition(3)).collect()))
+
+
+def test_zero_shot_over_three_categories(spark):
+    labelled = spark.createDataFrame([(f"c{i:02d}", i, f"a text of some length number {i}", ["A"] if i % 2 else ["B"]) for i in range(60)], "contract_id string, position int, text string, labels array<string>")
+    rows = G.zero_shot_run(labelled, {"A": "Is it A?", "B": "Is it B?", "C": "Is it C?"}, backend("ollama", lambda p, s: "YES" if "Is it A" in p else "no"))
+    got = {r.category: (r.n, r.yes) for r in rows.groupBy("category").agg(F.count("*").alias("n"), F.count_if("predicted").alias("yes")).collect()}
+    assert got == {"A": (16, 16), "B": (16, 0), "C": (8, 0)}
+    with pytest.raises(ValueError):
+        G.zero_shot_run(labelled, {}, backend("ollama", judge))
+    assert G.rejudged_path("/x/run.jsonl", backend("groq", judge)) == "/x/run__groq_m"

@@ -63,6 +63,28 @@ def test_collection_is_idempotent(spark, tmp_path):
     assert {r.record_id: r.vector for r in corpus.open_collection(spark, str(tmp_path), name).collect()} == {"c1_s1": [0.9], "c2_s2": [0.2], "c3_s3": [0.3]}
 
 
+def test_upserts_touch_their_buckets_and_scans_are_pruned(spark, tmp_path):
+    rows = spark.range(40).selectExpr("cast(id as string) as contract_id", "concat('s', id) as segment_id", "concat('r', id) as record_id", "array(0.5D) as vector")
+    sinks.write_collection(rows, str(tmp_path), "c")
+    files = {p: p.stat().st_mtime_ns for p in (tmp_path / "c").rglob("*.parquet")}
+    more = spark.createDataFrame([("7", "s7", "r7", [0.9])], rows.schema)
+    sinks.write_collection(more, str(tmp_path), "c", reset=False)
+    kept = [p for p in files if p.exists() and p.stat().st_mtime_ns == files[p]]
+    assert len(kept) == len(files) - 1 and corpus.open_collection(spark, str(tmp_path), "c").count() == 40
+    one = corpus.open_collection(spark, str(tmp_path), "c", "7")
+    assert one.collect()[0].vector == [0.9] and "PartitionFilters: [isnotnull(bucket" in one._jdf.queryExecution().toString()
+    assert sinks.drop_collection(spark, str(tmp_path), "c") and not (tmp_path / "c").exists() and not sinks.drop_collection(spark, str(tmp_path), "c")
+
+
+def test_data_version_and_order(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d/a.json").write_bytes(b"abc")
+    assert [(r.md5, r.size) for r in corpus.data_version(spark, str(tmp_path / "d")).collect()] == [("900150983cd24fb0d6963f7d28e17f72", 3)]
+    rows = spark.createDataFrame([(f"c{i % 7}", f"k{i}") for i in range(50)], "contract_id string, category string").repartition(5)
+    got = [(r.contract_id, r.category) for r in corpus.question_order(rows).orderBy("query_id").collect()]
+    assert got == sorted(got) and sorted(r.query_id for r in corpus.question_order(rows).collect()) == list(range(50))
+
+
 def test_results_are_merged_and_guarded(spark, tmp_path):
     one = spark.createDataFrame([(0.5,)], "hit_rate double")
     path = str(tmp_path / "results")
@@ -76,6 +98,8 @@ def test_results_are_merged_and_guarded(spark, tmp_path):
     assert not sinks.merge_result(one, path, "tfidf", write=False)
     sinks.log_run(spark, str(tmp_path / "runs"), "r", {"k": 5}, {"hit/rate now": 1.0})
     assert spark.read.parquet(str(tmp_path / "runs")).collect()[0].metrics == {"hit-rate_now": 1.0}
+    sinks.log_run(spark, str(tmp_path / "more"), "r", {}, {"f1": 0.5}, per_category={"Audit Rights": {"f1": 1.0}}, artifact="report")
+    assert [(r.metrics, r.artifact) for r in spark.read.parquet(str(tmp_path / "more")).collect()] == [({"f1": 0.5, "f1-Audit_Rights": 1.0}, "report")]
 
 
 def test_catalogue_pairs():
