@@ -11,6 +11,7 @@ the next block is broadcast, so one block is alive at a time; documents are neve
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections import defaultdict
 from collections.abc import Iterator
@@ -34,6 +35,9 @@ BLOCK_CHARS = 8_000_000
 #: Scripts that put no space between words.
 UNSPACED = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
 WORD = regex.compile(rf"(?V1)[{UNSPACED}]|[\w--[{UNSPACED}]]+")
+PLAIN_WORD = regex.compile(r"\w+")
+#: The scripts begin here (Thai is the first); texts without such a letter take the plain pattern.
+HIGH = re.compile("[\u0e00-\U0010ffff]")
 #: Items of fewer words are found only where they are the whole text: a single common word is no leak.
 LEAST_WORDS = 5
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -41,7 +45,8 @@ LEAK = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("dist
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall((text or "").casefold())
+    own = (text or "").casefold()
+    return (WORD if not own.isascii() and HIGH.search(own) else PLAIN_WORD).findall(own)
 
 
 def best_match(masks: dict, m: int, words: list) -> tuple[int, int]:
