@@ -27,7 +27,7 @@ PHRASES = (
     "alle rechte vorbehalten", "nutzungsbedingungen", "datenschutzerklärung", "alle cookies akzeptieren", "hier klicken", "nach oben",
     "todos los derechos reservados", "términos (?:y condiciones|de uso)", "política de privacidad", "aceptar (?:todas )?las cookies", "haga clic aquí", "volver arriba",
 )
-BOILERPLATE = rf"(?i)(?:{'|'.join(PHRASES)})"
+BOILERPLATE = rf"(?i)\b(?:{'|'.join(PHRASES)})"
 WINDOW = 5
 MIN_WORDS = 10
 #: Base rule: more than this percentage of words in repeated windows fails the document.
@@ -67,17 +67,19 @@ def _repeated(words: Column) -> Column:
     return F.when(F.size(words) < WINDOW, F.lit(0)).otherwise(let(grams, counted))
 
 
-def line_fails(line: Column) -> Column:
-    """Punctuation, navigation and boilerplate rules on one line; a line without a word passes."""
+def line_fails(line: Column, phrases: Column | None = None) -> Column:
+    """Punctuation, navigation and boilerplate rules on one line; a line without a word passes. ``phrases``: whether its document holds any phrase, if known."""
     n_words = F.regexp_count(line, F.lit(WORD_CLASS))
     marks = F.regexp_count(line, F.lit(SYMBOLS))
     punctuation = (marks >= MIN_MARKS) & (marks > MAX_SYMBOLS * chars_in_words(line))
     shouts = F.regexp_count(line, F.lit(r"[!?]{2,}"))
     loud = (shouts >= MIN_MARKS) & (shouts > MAX_SHOUTS * n_words)
     separators = F.regexp_count(line, F.lit(r"(?<![^\x20\x09-\x0D])[|/>»·•]+(?![^\x20\x09-\x0D])"))
-    navigation = (separators >= 2) & (separators > MAX_SEPARATORS * n_words)
-    phrases = F.array_join(F.regexp_extract_all(line, F.lit(BOILERPLATE), F.lit(0)), "")
-    boilerplate = F.when(F.rlike(line, F.lit(BOILERPLATE)), chars_in_words(phrases) >= MIN_PHRASES * chars_in_words(line)).otherwise(F.lit(False))
+    # The plain look for a sign comes first: most lines have none.
+    navigation = F.rlike(line, F.lit("[|/>»·•]")) & (separators >= 2) & (separators > MAX_SEPARATORS * n_words)
+    found = F.array_join(F.regexp_extract_all(line, F.lit(BOILERPLATE), F.lit(0)), "")
+    held = F.rlike(line, F.lit(BOILERPLATE))
+    boilerplate = F.when(held if phrases is None else phrases & held, chars_in_words(found) >= MIN_PHRASES * chars_in_words(line)).otherwise(F.lit(False))
     return punctuation | loud | navigation | boilerplate
 
 
@@ -86,7 +88,7 @@ def _quality(text: str, max_lost: float) -> Column:
 
     def of_lines(lines: Column) -> Column:
         full = F.filter(lines, lambda x: F.rlike(x, F.lit(WORD_CLASS)))
-        judged = F.transform(lines, lambda x: F.struct(x.alias("line"), line_fails(x).alias("fails")))
+        judged = let(F.rlike(t, F.lit(BOILERPLATE)), lambda any_: F.transform(lines, lambda x: F.struct(x.alias("line"), line_fails(x, any_).alias("fails"))))
         passed = let(judged, lambda j: F.array_join(F.transform(F.filter(j, lambda x: ~x["fails"]), lambda x: x["line"]), "\n"))
         return F.struct(let(full, lambda f: F.size(f) - F.size(F.array_distinct(f))).alias("dups"), passed.alias("clean"))
 
