@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import pre_tokenizers
 
-from .common import whole
+from .common import fresh, resident, tidy, whole
 
 #: Fixed pattern of this kind of tokenizer: contractions, words, numbers, marks, white space.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -48,20 +48,45 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
 
 
-class PrefixBpe:
-    """Encoder and decoder for one tokenizer file (its JSON text)."""
+class Decoder:
+    """Bytes of the ids of one tokenizer file (its parsed JSON)."""
 
-    def __init__(self, content: str) -> None:
-        spec = json.loads(content)
+    def __init__(self, spec: dict) -> None:
         model = spec["model"]
         split = spec.get("pre_tokenizer") or {}
         if model.get("type") != "BPE" or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or spec.get("normalizer"):
             raise ValueError("only byte-level BPE without normalizer and prefix space is supported")
         vocab: dict[str, int] = model["vocab"]
+        self.special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
+        as_byte = {c: b for b, c in enumerate(byte_letters())}
+        size = max([*vocab.values(), *self.special.values()]) + 1
+        raw = [b""] * size
+        for token, i in vocab.items():
+            raw[i] = bytes(as_byte[c] for c in token) if all(c in as_byte for c in token) else token.encode()
+        for token, i in self.special.items():
+            raw[i] = token.encode()
+        self.raw_bytes = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        self.raw_size = np.array([len(x) for x in raw], dtype=np.int64)
+        self.raw_at = np.concatenate([[0], np.cumsum(self.raw_size)[:-1]])
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The bytes of a run of ids."""
+        sizes = self.raw_size[ids]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.raw_bytes[np.repeat(self.raw_at[ids] - (ends - sizes), sizes) + np.arange(total)].tobytes()
+
+
+class PrefixBpe(Decoder):
+    """Encoder and decoder for one tokenizer file (its JSON text)."""
+
+    def __init__(self, content: str) -> None:
+        spec = json.loads(content)
+        super().__init__(spec)
+        model = spec["model"]
+        vocab: dict[str, int] = model["vocab"]
         letters = byte_letters()
         self.letters = dict(enumerate(letters))
-        as_byte = {c: b for b, c in enumerate(letters)}
-        self.special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
         if any(x.get("lstrip") or x.get("rstrip") or x.get("single_word") or x.get("normalized") for x in spec.get("added_tokens", [])):
             raise ValueError("only plain added tokens are supported")
         self.special_at = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
@@ -81,16 +106,6 @@ class PrefixBpe:
             self.parts[both] = (left, right)
         self.born = born
 
-        size = max([*vocab.values(), *self.special.values()]) + 1
-        raw = [b""] * size
-        for token, i in vocab.items():
-            raw[i] = bytes(as_byte[c] for c in token) if all(c in as_byte for c in token) else token.encode()
-        for token, i in self.special.items():
-            raw[i] = token.encode()
-        self.raw_bytes = np.frombuffer(b"".join(raw), dtype=np.uint8)
-        self.raw_size = np.array([len(x) for x in raw], dtype=np.int64)
-        self.raw_at = np.concatenate([[0], np.cumsum(self.raw_size)[:-1]])
-
         self.right: dict[int, list[tuple[int, int, int]]] = {}
         self.left: dict[int, list[tuple[int, int, int]]] = {}
         self.suffixes = ahocorasick.Automaton()
@@ -190,17 +205,15 @@ class PrefixBpe:
         self._add(out, text[at:] if at else text)
         return b"".join(out)
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        """The bytes of a run of ids."""
-        sizes = self.raw_size[ids]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.raw_bytes[np.repeat(self.raw_at[ids] - (ends - sizes), sizes) + np.arange(total)].tobytes()
-
 
-@lru_cache(maxsize=2)
 def built(content: str) -> PrefixBpe:
-    return PrefixBpe(content)
+    """The encoder, built once a worker."""
+    return resident(("bpe", content), lambda: PrefixBpe(content))
+
+
+@lru_cache(maxsize=1)
+def _decoder(content: str) -> Decoder:
+    return Decoder(json.loads(content))
 
 
 def load(docs: DataFrame, path: str) -> Broadcast:
@@ -238,12 +251,39 @@ def encoded(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
         for batch in batches:
             texts = [x or "" for x in batch.column(text).to_pylist()]
             for a, b in slices([len(x) for x in texts], SLICE_CHARS):
-                got = [bpe.encode(x) for x in texts[a:b]]
-                offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in got])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(got), dtype="<i4")))
+                lists = _id_lists([bpe.encode(x) for x in texts[a:b]])
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, lists], [*batch.schema.names, ids])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(tidy(run, keeps=True), schema)
+
+
+def _id_lists(got: list[bytes]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in got])]).astype(np.int32)
+    return pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(got), dtype="<i4")))
+
+
+def round_trip(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", back: str = "decoded") -> DataFrame:
+    """``docs`` with ``ids`` and ``back`` more: what ``encoded`` gives, and what ``decoded`` makes of it, by one worker a task instead of two.
+
+    Null and empty texts have no ids and decode to the empty text. ``back`` may be ``text`` itself, or another column, which it replaces.
+    """
+    vocabulary = load(docs, path)
+    (read,) = fresh([*docs.columns, ids, back], "whole")
+    kept = docs.select(*[F.col(c) for c in docs.columns if c not in (ids, back)], F.col(text).alias(read))
+    own = [f for f in kept.schema.fields if f.name != read]
+    schema = T.StructType([*own, T.StructField(ids, T.ArrayType(T.IntegerType(), False)), T.StructField(back, T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = built(vocabulary.value)
+        for batch in batches:
+            texts = [x or "" for x in batch.column(read).to_pylist()]
+            others = batch.select([f.name for f in own])
+            for a, b in slices([len(x) for x in texts], SLICE_CHARS):
+                got = [bpe.encode(x) for x in texts[a:b]]
+                again = pa.array([bpe.decode(np.frombuffer(x, dtype="<i4")).decode("utf-8", "replace") for x in got], pa.string())
+                yield pa.RecordBatch.from_arrays([*others.slice(a, b - a).columns, _id_lists(got), again], [f.name for f in schema.fields])
+
+    return kept.mapInArrow(tidy(run, keeps=True), schema)
 
 
 def decoded(rows: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -256,7 +296,7 @@ def decoded(rows: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
     schema = T.StructType([*kept.schema.fields, T.StructField(text, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = built(vocabulary.value)
+        decoder = _decoder(vocabulary.value)
         for batch in batches:
             column = batch.column(ids)
             sizes = [n or 0 for n in column.value_lengths().to_pylist()]
@@ -264,7 +304,7 @@ def decoded(rows: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
                 part = column.slice(a, b - a)
                 flat = part.flatten().to_numpy(zero_copy_only=False)
                 ends = np.cumsum(sizes[a:b])
-                texts = [bpe.decode(flat[e - n : e]).decode("utf-8", "replace") for e, n in zip(ends, sizes[a:b], strict=True)]
+                texts = [decoder.decode(flat[e - n : e]).decode("utf-8", "replace") for e, n in zip(ends, sizes[a:b], strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(texts, pa.string())], [*batch.schema.names, text])
 
     return kept.mapInArrow(run, schema)
@@ -275,8 +315,7 @@ def op6_bpe(spark, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    ids = encoded(docs, path).select("doc_id", "ids")
-    return decoded(ids, path).select(
+    return round_trip(docs, path).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.encode(F.array_join(F.col("ids").cast("array<string>"), ","), "UTF-8"), 256).alias("ids_sha256"),

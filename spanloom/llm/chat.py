@@ -14,7 +14,6 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from urllib.parse import quote, unquote
 
 import numpy as np
@@ -23,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .bpe import SLICE_CHARS, PrefixBpe, built, load, slices
+from .bpe import SLICE_CHARS, PrefixBpe, load, slices
+from .common import resident
 
 END = "<|end|>\n"
 #: Control strings are these starts: ours and the special tokens <|...|>, sentence marks, instruction marks.
@@ -89,7 +89,7 @@ class Aligner:
 
     def __init__(self, content: str) -> None:
         try:
-            self.bpe: PrefixBpe | None = built(content)
+            self.bpe: PrefixBpe | None = PrefixBpe(content)
         except ValueError:
             # A kind of file that the prefix encoder refuses.
             self.bpe = None
@@ -113,9 +113,8 @@ class Aligner:
         return ids, starts.astype(np.int32), ends.astype(np.int32)
 
 
-@lru_cache(maxsize=2)
 def _aligner(content: str) -> Aligner:
-    return Aligner(content)
+    return resident(("aligner", content), lambda: Aligner(content))
 
 
 def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,3 +47,36 @@ def fresh(columns: list[str], *names: str) -> list[str]:
         taken.add(n.lower())
         out.append(n)
     return out
+
+
+_RESIDENT: dict = {}
+
+
+def resident(name: tuple, build: Callable):
+    """What ``build`` makes, kept by a worker from task to task under ``name``; what was kept under another name goes first."""
+    if name not in _RESIDENT:
+        _RESIDENT.clear()
+        give_back()
+        _RESIDENT[name] = build()
+    return _RESIDENT[name]
+
+
+def give_back() -> None:
+    """Hands memory that is free in this process back to the system: Arrow's pool, and the C heap where its allocator can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def tidy(run: Callable, keeps: bool = False) -> Callable:
+    """The task ``run``, after which the worker gives its free memory back; unless it ``keeps`` something itself, what others keep goes before."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps and _RESIDENT:
+            _RESIDENT.clear()
+            give_back()
+        yield from run(batches)
+        give_back()
+
+    return task

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import SLICE_CHARS, slices
-from .common import fresh, staged
+from .common import fresh, resident, staged, tidy
 from .near_dedup import word_hashes
 
 ERRORS = 0.2
@@ -193,31 +193,21 @@ def _items(benchmark: DataFrame) -> DataFrame:
     return benchmark.select("item_id", "text").where("item_id is not null and text is not null").distinct().orderBy("item_id", "text")
 
 
-_READY: dict = {}
-
-
-def _ready(held: Broadcast) -> Items:
-    """The index of a broadcast block, built once a worker; another block takes its place."""
-    if held.value[0] not in _READY:
-        _READY.clear()
-        _READY[held.value[0]] = Items(*held.value[1:])
-    return _READY[held.value[0]]
-
-
 def _scanned(docs: DataFrame, held: Broadcast, text: str, leaks: str) -> DataFrame:
     schema = T.StructType([*docs.schema.fields, T.StructField(leaks, T.ArrayType(LEAK))])
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
     names = ("item_id", "distance", "start", "end")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready = _ready(held)
+        # Built once a worker; another block takes its place.
+        ready = resident(("benchmark", held.value[0]), lambda: Items(*held.value[1:]))
         for batch in batches:
             texts = batch.column(text).to_pylist()
             for a, b in slices([len(x or "") for x in texts], SLICE_CHARS):
                 found = [[dict(zip(names, x, strict=True)) for x in ready.leaks(t)] for t in texts[a:b]]
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(found, kind)], [*batch.schema.names, leaks])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run, keeps=True), schema)
 
 
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import MEMORY, SLICE_CHARS, slices
-from .common import staged
+from .common import staged, tidy
 from .components import components
 
 WORDS = 5
@@ -131,7 +131,7 @@ def signatures(docs: DataFrame, words: int = WORDS, key: str = "doc_id", text: s
                 ["doc", "n_shingles", "f1", "f2", "signature", "bands"],
             )
 
-    return docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).mapInArrow(run, SIGNED)
+    return docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).mapInArrow(tidy(run), SIGNED)
 
 
 def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -144,7 +144,7 @@ def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets)))], ["doc", "shingles"])
 
-    return docs.select("doc", "text").mapInArrow(run, "doc long, shingles array<long>")
+    return docs.select("doc", "text").mapInArrow(tidy(run), "doc long, shingles array<long>")
 
 
 def least_matches(percent: int) -> list[int]:
@@ -192,7 +192,7 @@ def bayes_pairs(pairs: DataFrame, percent: int) -> DataFrame:
                 at = pa.array(_survive(_matrix(batch.column("sa")), _matrix(batch.column("sb")), least))
                 yield pa.RecordBatch.from_arrays([batch.column(c).take(at) for c in ("a", "b")], ["a", "b"])
 
-    return pairs.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "sa", "sb").mapInArrow(tidy(run), "a long, b long")
 
 
 def bucket_links(rows: DataFrame, percent: int) -> DataFrame:
@@ -258,7 +258,7 @@ def bucket_links(rows: DataFrame, percent: int) -> DataFrame:
         if held:
             yield from done()
 
-    return rows.select("bucket", "i", "j", "block", "doc", "label", "leader", "signature", "shingles").mapInArrow(run, "a long, b long")
+    return rows.select("bucket", "i", "j", "block", "doc", "label", "leader", "signature", "shingles").mapInArrow(tidy(run), "a long, b long")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -34,6 +34,11 @@ def test_bpe_equals_the_library(spark):
         want = own.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
         assert list(r.ids) == want and r.decoded == own.decode(want, skip_special_tokens=False) == (texts[r.doc_id] or "")
     assert bpe.encoded(table(spark, ["x"]).where("false"), BYTE).count() == 0
+    both = bpe.round_trip(table(spark, texts), BYTE).collect()
+    assert sorted(map(str, both)) == sorted(str(r) for r in bpe.decoded(bpe.encoded(table(spark, texts), BYTE), BYTE).select(both[0].__fields__).collect())
+    again = bpe.round_trip(table(spark, texts).drop("decoded"), BYTE, back="text")
+    assert again.columns == ["doc_id", "ids", "text"] and {r.doc_id: r.text for r in again.collect()} == {i: t or "" for i, t in enumerate(texts)}
+    assert bpe.round_trip(table(spark, ["x"]).where("false"), BYTE).count() == 0
 
 
 def test_partial_characters_decode_as_the_library_does(spark):
