@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.bpe import decoded, encoded
+from spanloom.llm.bpe import round_trip
 from spanloom.llm.common import fresh, staged
 from spanloom.llm.decontaminate import with_leaks
 from spanloom.llm.line_dedup import apply_keep, keep_bitmaps
@@ -73,8 +73,7 @@ def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     beyond doc_id, lang and source are left out.
     """
     path = public_tokenizers.path("byte_bpe_50k.json")
-    ids = encoded(docs.select("doc_id", "lang", "source", "text"), path, ids="ids").drop("text")
-    return decoded(ids, path, text="text").select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "text")
+    return round_trip(docs.select("doc_id", "lang", "source", "text"), path, ids="ids", back="text").select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "text")
 
 
 STAGES = [
