@@ -9,6 +9,8 @@ from spanloom.operators.spans import covered, covered_in, overlap, touches
 
 SPANS = "array<struct<start:int,end:int>>"
 CURVE = (1, 3, 5, 10, 20, 50)
+#: Sums of these have eleven digits before the point.
+RECIPROCAL = "decimal(28,27)"
 # Least and greatest rank of each bucket.
 BUCKETS = (("1", 1, 1), ("2-3", 2, 3), ("4-5", 4, 5), ("6-10", 6, 10), ("11-20", 11, 20), ("21-50", 21, 50))
 
@@ -87,11 +89,16 @@ def rank_buckets(first: DataFrame) -> DataFrame:
 
 
 def rank_summary(first: DataFrame) -> DataFrame:
-    """Mean reciprocal rank (0 for rows not found), and median and mean rank of those found."""
+    """Mean reciprocal rank (0 for rows not found), and median and mean rank of those found.
+
+    Reciprocals are summed and divided as decimals and become a double at the end, so the order of rows changes no digit.
+    """
+    reciprocal = (F.lit(1).cast(RECIPROCAL) / F.col("first_rank")).cast(RECIPROCAL)
+    mrr = F.try_divide(F.sum(reciprocal), F.count("*")).cast("double")
     return first.agg(
         F.count("*").alias("n"),
         F.count("first_rank").alias("n_found"),
-        ratio(F.sum(1.0 / F.col("first_rank")), F.count("*")).alias("mrr"),
+        F.coalesce(mrr, F.lit(0.0)).alias("mrr"),
         F.percentile("first_rank", F.lit(0.5)).alias("median_rank"),
         F.avg("first_rank").alias("mean_rank"),
     )

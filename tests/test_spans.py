@@ -77,3 +77,15 @@ def test_rank_reports_count_rows_that_were_not_found(spark, name):
 def test_rank_summary(spark):
     r = metrics.rank_summary(spark.createDataFrame([("a", 1), ("b", 4), ("c", None)], "query_id string, first_rank int")).collect()[0]
     assert (r.n, r.n_found, r.mrr, r.median_rank) == (3, 2, 1.25 / 3, 2.5)
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_mean_reciprocal_rank_is_exact_in_any_order(spark, parts):
+    half_step = [1] * 3919 + [2] * 70 + [3] * 9 + [4, 5]  # 79149 / 20 / 4000 = 0.9893625
+    cases = [(half_step, 0.9893625), (half_step[::-1], 0.9893625), ([10] * 10, 0.1), ([3] * 3 + [None] * 7, 0.1), ([None], 0.0), ([], 0.0)]
+    for kind in ("int", "long"):
+        for ranks, mrr in cases:
+            first = spark.createDataFrame([(r,) for r in ranks], f"first_rank {kind}").coalesce(parts)
+            got = metrics.rank_summary(first)
+            assert got.collect()[0].mrr == mrr
+            assert got.select(F.round("mrr", 6).alias("mrr")).collect()[0].mrr == (0.989363 if ranks in (half_step, half_step[::-1]) else mrr)
