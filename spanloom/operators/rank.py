@@ -8,7 +8,11 @@ Questions need ``query_id, contract_id, question``; segments ``contract_id, posi
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +21,7 @@ from pyspark.sql import functions as F
 from spanloom.functions.text import category_of, char_ngrams, clean_query, drawn, passage, stop_words, tokens, word_ngrams
 from spanloom.functions.vectors import dot
 from spanloom.operators.spans import overlap
+from spanloom.operators.walk import Group, walked
 from spanloom.sources.stage import staged
 
 SPAN = ["start_char", "end_char"]
@@ -39,104 +44,159 @@ def terms_of(text: Column, ngrams: tuple[int, int] = (1, 1), analyzer: str = "wo
     return word_ngrams(tokens(text, stop_words() if stop is None else stop), *ngrams)
 
 
-def term_stats(
-    segments: DataFrame, ngrams: tuple[int, int] = (1, 1), analyzer: str = "word", stop: tuple[str, ...] | None = None, places: DataFrame | None = None
-) -> DataFrame:
-    """Rows ``contract_id, position, term, tf, df, n``: counts in the segment, segments of the contract with the term, segments of the contract.
-
-    Terms are counted once; the number of segments with a term is a window over those counts. ``places`` has the segments without their
-    texts, if they are at hand.
-    """
-    terms = segments.select("contract_id", "position", F.explode(terms_of(F.col("text"), ngrams, analyzer, stop)).alias("term"))
-    counts = terms.groupBy("contract_id", "position", "term").agg(F.count("*").alias("tf"))
-    n = (segments if places is None else places).groupBy("contract_id").agg(F.count("*").alias("n"))
-    return counts.withColumn("df", F.count("*").over(Window.partitionBy("contract_id", "term"))).join(n, "contract_id")
-
-
 def smooth_idf(df: Column, n: Column) -> Column:
     return F.log((1 + n) / (1 + df)) + 1
 
 
-def tfidf_weights(stats: DataFrame) -> DataFrame:
-    """Rows ``contract_id, position, term, weight``: raw counts times smoothed idf, of length one for each segment."""
-    raw = stats.withColumn("w", F.col("tf") * smooth_idf(F.col("df"), F.col("n")))
-    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("contract_id", "position")))
-    return raw.select("contract_id", "position", "term", (F.col("w") / length).alias("weight"))
-
-
-def tokenised(segments: DataFrame, analyzer: str = "word", stop: tuple[str, ...] | None = None) -> DataFrame:
-    """Segments as their words (or texts, for character n-grams), places and number of words, staged: texts are cut once, however many rankings follow."""
-    own = F.coalesce("text", F.lit("")) if analyzer == "char_wb" else terms_of(F.col("text"), (1, 1), analyzer, stop)
-    return staged(segments.select("contract_id", "position", *SPAN, own.alias("words")), "words")
-
+def _idf(df: int, n: int) -> float:
+    """``smooth_idf`` of two numbers."""
+    return math.log((1 + n) / (1 + df)) + 1
 
-def _terms(words: Column, ngrams: tuple[int, int], analyzer: str) -> Column:
-    return char_ngrams(words, *ngrams) if analyzer == "char_wb" else word_ngrams(words, *ngrams)
-
-
-def _exact(a: Column, b: Column) -> Column:
-    return a.cast("decimal(19,0)") * b.cast("decimal(19,0)")
 
+def spaced(text: Column, analyzer: str = "word") -> Column:
+    """A text as ``grams`` reads it: its words, or for character n-grams all that stands between white space, in lower case and one space apart."""
+    if analyzer == "char_wb":
+        return F.array_join(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != ""), " ")
+    return F.array_join(tokens(text), " ")
 
-def lexical_weights(words: DataFrame, ngrams: tuple[int, int] = (1, 1), analyzer: str = "word") -> DataFrame:
-    """Rows ``contract_id, position, start_char, end_char, term, idf, w, first, length2`` of ``tokenised`` segments.
 
-    ``w`` is the count times ``idf``, a whole number of UNITs; ``length2`` the exact sum of the segment's squares; ``first`` marks one row a term and
-    contract. Everything is a window inside the contract, which is one record at its source, so texts' terms move once.
+def grams(text: str, ngrams: tuple[int, int], analyzer: str, stop: frozenset[str], known: dict[str, list[str]]) -> list[str]:
+    """The terms of a ``spaced`` text, as ``terms_of`` has them. ``known`` keeps the n-grams of words, of 100,000 at most."""
+    words, (low, high) = text.split(" ") if text else [], ngrams
+    if analyzer == "char_wb":
+        out: list[str] = []
+        for w in words:
+            own = known.get(w)
+            if own is None:
+                p = f" {w} "
+                own = [p[i : i + n] for n in range(low, high + 1) for i in range(len(p) - n + 1)] if len(p) >= low else [p]
+                if len(known) >= 100_000:
+                    known.clear()
+                known[w] = own
+            out += own
+        return out
+    words = [w for w in words if w not in stop]
+    if high == 1:
+        return words
+    out = list(words) if low == 1 else []
+    for n in range(max(2, low), high + 1):
+        out += map(" ".join, zip(*[words[i:] for i in range(n)], strict=False))
+    return out
+
+
+def _stop(stop: tuple[str, ...] | None) -> frozenset[str]:
+    return frozenset(stop_words() if stop is None else stop)
+
+
+def term_stats(segments: DataFrame, ngrams: tuple[int, int] = (1, 1), analyzer: str = "word", stop: tuple[str, ...] | None = None) -> DataFrame:
+    """Rows ``contract_id, position, term, tf, df, n, first, length``: counts in the segment, segments of the contract with the term, segments of the contract.
+
+    ``first`` marks the first row of a term in its contract; ``length`` is that of the segment's raw counts times smoothed idf. A contract is walked as
+    a whole, so no term is shuffled.
     """
-    here, of_term, of_segment = Window.partitionBy("contract_id"), Window.partitionBy("contract_id", "term"), Window.partitionBy("contract_id", "position")
-    sized = words.repartition("contract_id").withColumn("n", F.count("*").over(here))
-    terms = sized.select("contract_id", "position", *SPAN, "n", F.explode(_terms(F.col("words"), ngrams, analyzer)).alias("term"))
-    counts = terms.groupBy("contract_id", "position", *SPAN, "n", "term").agg(F.count("*").alias("tf"))
-    idf = F.floor(smooth_idf(F.count("*").over(of_term), F.col("n")) * UNIT + 0.5)
-    weighed = counts.withColumn("idf", idf).withColumn("first", F.col("position") == F.min("position").over(of_term)).withColumn("w", F.col("tf") * F.col("idf"))
-    return weighed.select("contract_id", "position", *SPAN, "term", "idf", "w", "first", F.sum(_exact(F.col("w"), F.col("w"))).over(of_segment).alias("length2"))
-
-
-def lexical(
-    questions: DataFrame,
-    segments: DataFrame,
-    k: int,
-    ngrams: tuple[int, int] = (1, 1),
-    analyzer: str = "word",
-    stop: tuple[str, ...] | None = None,
-    words: DataFrame | None = None,
-) -> DataFrame:
-    """TF-IDF ranking, fitted for each contract; ties, zeros among them, go to later segments; a contract without any term keeps its order.
+    own = _stop(stop)
+
+    def run(groups: Iterator[Group]) -> Iterator[tuple]:
+        known: dict[str, list[str]] = {}
+        for (contract,), (rows,) in groups:
+            n, counts = len(rows), {}
+            for position, text in sorted(rows):
+                counts.setdefault(position, Counter()).update(grams(text, ngrams, analyzer, own, known))
+            df: Counter = Counter()
+            for c in counts.values():
+                df.update(c.keys())
+            idf = {d: _idf(d, n) for d in set(df.values())}
+            seen: set[str] = set()
+            for position, c in counts.items():
+                dfs = [df[t] for t in c]
+                length = math.sqrt(math.fsum((f * idf[d]) ** 2 for f, d in zip(c.values(), dfs, strict=True)))
+                m, first = len(c), [t not in seen for t in c]
+                seen.update(c)
+                yield [contract] * m, [position] * m, list(c), list(c.values()), dfs, [n] * m, first, [length] * m
+
+    texts = segments.select("contract_id", "position", spaced(F.col("text"), analyzer).alias("words"))
+    return walked([texts], ["contract_id"], run, "contract_id string, position int, term string, tf long, df long, n long, first boolean, length double")
 
-    Segments that share a term with the question are scored and cut to ``k``; only questions with fewer are filled up from the last ``k`` segments of
-    their contract. Terms of the question that the contract lacks go before its length is made one. Sums are exact, so neither partitions nor
-    their order change a score. ``words`` are the segments as ``tokenised`` gives them, if they are at hand.
+
+def tfidf_weights(stats: DataFrame) -> DataFrame:
+    """Rows ``contract_id, position, term, weight``: raw counts times smoothed idf, of length one for each segment."""
+    return stats.select("contract_id", "position", "term", (F.col("tf") * smooth_idf(F.col("df"), F.col("n")) / F.col("length")).alias("weight"))
+
+
+@dataclass(frozen=True)
+class Lexicon:
+    """What a lexical ranking counts: word n-grams, or character n-grams of ``char_wb``; of the question as it is, or ``cleaned``."""
+
+    ngrams: tuple[int, int] = (1, 1)
+    analyzer: str = "word"
+    cleaned: bool = False
+
+
+def _ranked(segments: list[tuple], asked: list[tuple], k: int, terms: Callable[[str], list[str]]) -> Iterator[tuple]:
+    """Rows query_id, start, end, score, rank of one contract. ``segments`` are (position, start, end, text), ``asked`` (query_id, text)."""
+    n, counts = len(segments), {}
+    for position, start, end, text in segments:
+        counts.setdefault((position, start, end), Counter()).update(terms(text))
+    df: Counter = Counter()
+    for c in counts.values():
+        df.update(c.keys())
+    idf = {d: math.floor(_idf(d, n) * UNIT + 0.5) for d in set(df.values())}
+    lengths: dict[int, int] = {}
+    for (position, _, _), c in counts.items():
+        # Terms of the same count and document frequency weigh the same.
+        alike = Counter(zip(c.values(), map(df.__getitem__, c), strict=True))
+        lengths[position] = lengths.get(position, 0) + sum(m * (f * idf[d]) ** 2 for (f, d), m in alike.items())
+    last_first = sorted(counts, reverse=True) if df else sorted(counts)
+    questions: dict[str, Counter] = {}
+    for query, text in asked:
+        questions.setdefault(query, Counter()).update(terms(text))
+    for query, own in questions.items():
+        weights = [(t, f * idf[df[t]], idf[df[t]]) for t, f in own.items() if t in df]
+        length = math.sqrt(float(sum(w * w for _, w, _ in weights)))
+        scored = []
+        for place, c in counts.items():
+            both = sum(w * c[t] * u for t, w, u in weights if t in c)
+            if both:
+                score = float(both) / (length * math.sqrt(float(lengths[place[0]])))
+                scored.append((math.floor(score / TIE + 0.5), place, score))
+        scored.sort(reverse=True)
+        found = {place for _, place, _ in scored}
+        rows = [(place, score) for _, place, score in scored[:k]]
+        if len(rows) < k:
+            rows += [(place, 0.0) for place in last_first if place not in found][: k - len(rows)]
+        for at, ((_, start, end), score) in enumerate(rows, 1):
+            yield query, start, end, score, at
+
+
+def lexicals(questions: DataFrame, segments: DataFrame, k: int, kinds: dict[str, Lexicon], stop: tuple[str, ...] | None = None) -> DataFrame:
+    """Several TF-IDF rankings of the same questions, with the name of each in ``kind``, in one walk over contracts.
+
+    Fitted for each contract; ties, zeros among them, go to later segments; a contract without any term keeps its order. Terms of the question that the
+    contract lacks go before its length is made one. Sums are of whole numbers, so neither partitions nor their order change a score. Texts and
+    questions move once, to the task that has the contract; terms never leave it.
     """
-    words = tokenised(segments, analyzer, stop) if words is None else words
-    asked_words = F.coalesce("question", F.lit("")) if analyzer == "char_wb" else terms_of(F.col("question"), (1, 1), analyzer, stop)
-    asked = questions.select("query_id", "contract_id", F.explode(_terms(asked_words, ngrams, analyzer)).alias("term")).groupBy("query_id", "contract_id", "term").agg(F.count("*").alias("q_tf"))
-    by_query = Window.partitionBy("query_id", "contract_id")
-    pairs = asked.join(lexical_weights(words, ngrams, analyzer), ["contract_id", "term"]).withColumn("q_w", F.col("q_tf") * F.col("idf"))
-    pairs = pairs.withColumn("q_length2", F.sum(F.when(F.col("first"), _exact(F.col("q_w"), F.col("q_w")))).over(by_query))
-    sums = pairs.groupBy("query_id", "contract_id", "position", *SPAN).agg(
-        F.sum(_exact(F.col("q_w"), F.col("w"))).cast("double").alias("both"), (F.sqrt(F.first("q_length2").cast("double")) * F.sqrt(F.first("length2").cast("double"))).alias("lengths")
-    )
-    order = by_query.orderBy(F.desc("level"), F.desc("position"))
-    scored = sums.withColumn("score", F.col("both") / F.col("lengths")).withColumn("level", F.floor(F.col("score") / TIE + 0.5))
-    found = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "contract_id", "position", *SPAN, "score", "rank")
-    found = staged(found, "ranked")
-
-    in_contract = Window.partitionBy("contract_id")
-    ends = words.select("contract_id", "position", *SPAN, _has_terms(words, ngrams, analyzer).alias("has")).withColumn("has", F.max("has").over(in_contract))
-    later_first = F.when(F.col("has"), -F.col("position")).otherwise(F.col("position"))
-    ends = ends.withColumn("place", F.row_number().over(in_contract.orderBy(later_first))).where(F.col("place") <= k).drop("has")
-    few = questions.select("query_id", "contract_id").join(found.where(F.col("rank") == k), ["query_id", "contract_id"], "left_anti")
-    n_found = found.groupBy("query_id", "contract_id").agg(F.max("rank").alias("n_found"))
-    rest = few.join(ends, "contract_id").join(found.select("query_id", "contract_id", "position"), ["query_id", "contract_id", "position"], "left_anti").join(n_found, ["query_id", "contract_id"], "left")
-    rank = (F.coalesce("n_found", F.lit(0)) + F.row_number().over(by_query.orderBy("place"))).cast("int")
-    filled = rest.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("score", F.lit(0.0))
-    columns = ["query_id", "contract_id", *SPAN, "score", "rank"]
-    return found.select(columns).unionByName(filled.select(columns))
-
-
-def _has_terms(words: DataFrame, ngrams: tuple[int, int], analyzer: str) -> Column:
-    return F.size(_terms(F.col("words"), ngrams, analyzer)) > 0 if analyzer == "char_wb" else F.size("words") >= ngrams[0]
+    analyzers = sorted({x.analyzer for x in kinds.values()})
+    own, todo = _stop(stop), [(name, x, analyzers.index(x.analyzer), i) for i, (name, x) in enumerate(kinds.items())]
+
+    def run(groups: Iterator[Group]) -> Iterator[tuple]:
+        known: dict[str, dict[str, list[str]]] = {name: {} for name, *_ in todo}
+        for (contract,), (segs, asked) in groups:
+            rows: list[tuple] = []
+            if segs and asked:
+                for name, x, text, question in todo:
+                    terms = partial(grams, ngrams=x.ngrams, analyzer=x.analyzer, stop=own, known=known[name])
+                    rows += [(name, query, contract, *r) for query, *r in _ranked([(*s[:3], s[3 + text]) for s in segs], [(a[0], a[1 + question]) for a in asked], k, terms)]
+            if rows:
+                yield tuple(zip(*rows, strict=True))
+
+    texts = segments.select("contract_id", "position", *SPAN, *[spaced(F.col("text"), a).alias(f"w{i}") for i, a in enumerate(analyzers)])
+    asked = questions.select("contract_id", "query_id", *[spaced(clean_query(F.col("question")) if x.cleaned else F.col("question"), x.analyzer).alias(f"q{i}") for i, x in enumerate(kinds.values())])
+    return walked([texts, asked], ["contract_id"], run, "kind string, query_id string, contract_id string, start_char int, end_char int, score double, rank int")
+
+
+def lexical(questions: DataFrame, segments: DataFrame, k: int, ngrams: tuple[int, int] = (1, 1), analyzer: str = "word", stop: tuple[str, ...] | None = None) -> DataFrame:
+    """One ranking of ``lexicals``."""
+    return lexicals(questions, segments, k, {"": Lexicon(ngrams, analyzer)}, stop).drop("kind")
 
 
 def dense(query_vectors: DataFrame, records: DataFrame, k: int, oversample: int | None = None) -> DataFrame:

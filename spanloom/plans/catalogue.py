@@ -11,7 +11,7 @@ from spanloom.functions.text import TOKEN, category_of, category_or_start, clean
 from spanloom.operators import classify, embed, extras, generation, metrics, rank, segment, spans
 from spanloom.plans.fixtures import EVAL_SQL, KINDS, STRUCTURED_SQL, contracts, eval_rows, segments, segments_sql, structured, structured_segments_sql, table
 from spanloom.sources import sinks
-from spanloom.sources.stage import new_path
+from spanloom.sources.stage import new_path, staged
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -315,7 +315,7 @@ tf AS (SELECT contract_id, position, term, count(*) AS tf FROM st GROUP BY ALL),
 SELECT contract_id, sum(tf)::BIGINT AS tokens, count(*) AS postings, count(DISTINCT term) AS terms, max(df) AS max_df FROM tf JOIN df USING (contract_id, term) GROUP BY contract_id""")
 def term_stats(spark: SparkSession, sf: str) -> DataFrame:
     rows = rank.term_stats(segments(spark, sf))
-    return rows.groupBy("contract_id").agg(F.sum("tf").alias("tokens"), F.count("*").alias("postings"), F.countDistinct("term").alias("terms"), F.max("df").alias("max_df"))
+    return rows.groupBy("contract_id").agg(F.sum("tf").alias("tokens"), F.count("*").alias("postings"), F.count_if("first").alias("terms"), F.max("df").alias("max_df"))
 
 
 @query(f"""WITH RECURSIVE {segments_sql()}, {EVAL_SQL}, {_tfidf_sql(False)} SELECT contract_id, CAST(position AS INTEGER) AS position, count(*) AS terms, round(max(weight), 6) AS max_weight, round(sum(weight), 6) AS sum_weight FROM lex_wt GROUP BY ALL""")
@@ -387,9 +387,9 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, lr
 
 
 def _two(spark: SparkSession, sf: str, k: int) -> tuple[DataFrame, DataFrame]:
-    q, s = eval_rows(spark, sf), segments(spark, sf)
-    words = rank.tokenised(s)
-    return rank.lexical(q, s, k, words=words), rank.lexical(q, s, k, (1, 2), words=words)
+    """Word and bigram rankings, made in one walk and staged together."""
+    both = staged(rank.lexicals(eval_rows(spark, sf), segments(spark, sf), k, {"tfidf": rank.Lexicon(), "tfidf_bigram": rank.Lexicon((1, 2))}), "ranked")
+    return both.where("kind = 'tfidf'").drop("kind"), both.where("kind = 'tfidf_bigram'").drop("kind")
 
 
 @query(_fuse_sql(1))

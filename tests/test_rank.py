@@ -121,3 +121,33 @@ def test_all_variants_run(spark):
         assert len(rows) == 4 and len({(r.query_id, r.start_char) for r in rows}) == 4, name
     with pytest.raises(ValueError):
         R.variants()["hybrid"](q, s, 2)
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_terms_never_leave_their_contract(spark):
+    s = segs(spark, "audit rights", "audit of books").unionByName(segs(spark, "audit", contract="d"))
+    q = asked(spark, "audit rights").unionByName(asked(spark, "books", contract="d"))
+    kinds = {"one": R.Lexicon(), "two": R.Lexicon((1, 2)), "chars": R.Lexicon((3, 5), "char_wb"), "clean": R.Lexicon((1, 2), cleaned=True)}
+    for df in (R.lexical(q, s, 5), R.lexicals(q, s, 5, kinds), R.term_stats(s)):
+        text = plan(df)
+        assert text.count("Exchange hashpartitioning") == 1 and "Window" not in text and "Join" not in text
+
+
+def test_rankings_of_one_walk_are_those_of_single_ones(spark):
+    texts = [" ".join(f"w{(i * j * 7) % 23}" for j in range(1, 30)) for i in range(1, 30)]
+    s, q = segs(spark, *texts), asked(spark, "w1 w2 w3 w7", probe("w5 w9"), "", "none of these")
+    kinds = {"one": R.Lexicon(), "two": R.Lexicon((1, 2)), "chars": R.Lexicon((3, 5), "char_wb"), "clean": R.Lexicon((1, 2), cleaned=True)}
+    both = {n: sorted(tuple(r[1:]) for r in rows) for n in kinds for rows in [R.lexicals(q, s, 6, kinds, stop=()).where(F.col("kind") == n).collect()]}
+    cleaned = q.withColumn("question", T.clean_query(F.col("question")))
+    for n, x in kinds.items():
+        assert both[n] == sorted(map(tuple, R.lexical(cleaned if x.cleaned else q, s, 6, x.ngrams, x.analyzer, stop=()).collect())) and len(both[n]) == 24
+
+
+def test_term_statistics(spark):
+    got = {(r.position, r.term): (r.tf, r.df, r.n, r.first) for r in R.term_stats(segs(spark, "audit audit books", "books", ""), stop=()).collect()}
+    assert got == {(0, "audit"): (2, 1, 3, True), (0, "books"): (1, 2, 3, True), (1, "books"): (1, 2, 3, False)}
+    weights = {(r.position, r.term): r.weight for r in R.tfidf_weights(R.term_stats(segs(spark, "audit audit books", "books", ""), stop=())).collect()}
+    assert weights[1, "books"] == 1.0 and abs(weights[0, "audit"] ** 2 + weights[0, "books"] ** 2 - 1) < 1e-12
