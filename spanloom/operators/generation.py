@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from spanloom.functions.text import NO_ANSWER, TRANSIENT, declines, drawn, is_transient, strip, yes_no
 from spanloom.operators.metrics import ratio, score_rows
 from spanloom.operators.rank import attach_segments
-from spanloom.schemas import RUN_LOG, RUN_LOG_VERSION, struct
+from spanloom.operators.walk import Group, walked
+from spanloom.schemas import CHUNK, RUN_LOG, RUN_LOG_VERSION, struct
 
 # Labels; the first three are verdicts on a claim and make up the denominator of the faithful rate.
 SUPPORTED, PARTIAL, UNSUPPORTED = "SUPPORTED", "PARTIALLY_SUPPORTED", "UNSUPPORTED"
@@ -72,6 +73,27 @@ def chunks_of(attached: DataFrame) -> DataFrame:
     return rows.select("query_id", spans.alias("retrieved"), chunks.alias("chunks"))
 
 
+def chunks_for(questions: DataFrame, ranking: DataFrame, segments: DataFrame) -> DataFrame:
+    """Rows ``query_id, question, chunks`` of the questions that the ranking has: what ``chunks_of`` gives, beside its question.
+
+    A contract's texts move once and are put together where they are, so what is shuffled doesn't grow with the number of excerpts.
+    """
+
+    def run(groups: Iterator[Group]) -> Iterator[tuple]:
+        for _, (segs, ranked, asked) in groups:
+            last, found = {(start, end): rest for _, start, end, *rest in sorted(segs, key=lambda s: s[0])} if ranked else {}, {}
+            for query, *place in sorted(ranked, key=lambda r: r[1]):
+                found.setdefault(query, []).append(place[1:])
+            for query, question in asked:
+                if query in found:
+                    own = [(start, end, *last.get((start, end), (None, None))) for start, end in found[query]]
+                    yield [query], [question], [[{"header": header or "", "start_char": start, "end_char": end, "text": text or ""} for start, end, header, text in own]]
+
+    span = ["start_char", "end_char"]
+    parts = [segments.select("contract_id", "position", *span, "header", "text"), ranking.select("contract_id", "query_id", "rank", *span), questions.select("contract_id", "query_id", "question")]
+    return walked(parts, ["contract_id"], run, f"query_id string, question string, chunks array<{CHUNK}>")
+
+
 @dataclass
 class Backend:
     """A model behind a name. ``call(prompt, system)`` returns its text or raises; ``generate`` never raises."""

@@ -29,6 +29,8 @@ SPAN = ["start_char", "end_char"]
 RRF, DEPTH = 60, 20
 PRIOR_RATE, PRIOR_LEAD, PRIOR_ROWS = 0.6, 1, 20
 RERANK_DEPTH, OVERSAMPLE = 20, 5
+#: Pairs of question and passage in a batch of a scorer, and those of one contract more.
+PAIRS = 256
 #: Distances and model scores are compared at this many digits, which is coarser than what the order of summing changes.
 DIGITS = 9
 #: Inverse document frequencies are whole numbers in these units: products and sums of them are exact in any order.
@@ -232,7 +234,8 @@ def fuse(rankings: list[tuple[DataFrame, float]], k: int, depth: int = DEPTH) ->
     for p in parts[1:]:
         rows = rows.unionByName(p)
     lexical_rank = F.min(F.when(F.col("source") == 0, F.col("rank")))
-    fused = rows.groupBy("query_id", "contract_id", *SPAN).agg(
+    # Dealt by the question, rows need not move again to be ordered.
+    fused = rows.repartition("query_id", "contract_id").groupBy("query_id", "contract_id", *SPAN).agg(
         F.round(F.sum("part"), 12).alias("score"), lexical_rank.alias("lexical_rank"), F.min(F.struct("source", "rank")).alias("seen")
     )
     order = Window.partitionBy("query_id", "contract_id").orderBy(F.desc("score"), F.asc_nulls_last("lexical_rank"), "seen")
@@ -273,17 +276,35 @@ def with_prior(ranking: DataFrame, questions: DataFrame, segments: DataFrame, pr
     leads = asked.join(segments.select("contract_id", "position", *SPAN), "contract_id").where(F.col("position") < F.col("n_lead"))
     first = leads.select("query_id", "contract_id", *SPAN, F.lit(0).alias("part"), F.col("position").alias("at"))
     rest = ranking.select("query_id", "contract_id", *SPAN, F.lit(1).alias("part"), F.col("rank").alias("at"))
-    best = first.unionByName(rest).groupBy("query_id", "contract_id", *SPAN).agg(F.min(F.struct("part", "at")).alias("best"))
+    best = first.unionByName(rest).repartition("query_id", "contract_id").groupBy("query_id", "contract_id", *SPAN).agg(F.min(F.struct("part", "at")).alias("best"))
     order = Window.partitionBy("query_id", "contract_id").orderBy("best")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("score", F.lit(None).cast("double")).select("query_id", "contract_id", *SPAN, "score", "rank")
 
 
 def attach_segments(ranking: DataFrame, segments: DataFrame) -> DataFrame:
-    """Ranked spans with header and texts of their segment; of segments with the same span the last one counts, a miss has the empty text."""
-    keep = F.max_by(F.struct("header", "text", "embedding_text"), "position").alias("s")
-    by_span = segments.groupBy("contract_id", *SPAN).agg(keep)
-    joined = ranking.join(by_span, ["contract_id", *SPAN], "left")
-    return joined.select(*ranking.columns, F.coalesce("s.header", F.lit("")).alias("header"), F.coalesce("s.text", F.lit("")).alias("text"), F.col("s.embedding_text").alias("embedding_text"))
+    """Ranked spans with header and texts of their segment; of segments with the same span the last one counts, a miss has the empty text.
+
+    Segments and ranked spans move once, to the task that has the contract.
+    """
+    texts, own = ["header", "text", "embedding_text"], [c for c in ranking.columns if c != "contract_id"]
+    span = [own.index(c) for c in SPAN]
+
+    def run(groups: Iterator[Group]) -> Iterator[tuple]:
+        for (contract,), (segs, ranked) in groups:
+            last = _last_of_span(segs) if ranked else {}
+            for row in ranked:
+                header, text, embedding = last.get((row[span[0]], row[span[1]]), (None, None, None))
+                yield tuple([x] for x in (contract, *row, header or "", text or "", embedding))
+
+    kinds = dict(ranking.dtypes)
+    schema = ", ".join([f"contract_id {kinds['contract_id']}", *[f"`{c}` {kinds[c]}" for c in own], *[f"{c} string" for c in texts]])
+    out = walked([segments.select("contract_id", "position", *SPAN, *texts), ranking], ["contract_id"], run, schema)
+    return out.select(*ranking.columns, *texts)
+
+
+def _last_of_span(segments: list[tuple]) -> dict[tuple[int, int], tuple]:
+    """What comes behind (position, start, end), by span; of equal spans that of the last position."""
+    return {(start, end): rest for _, start, end, *rest in sorted(segments, key=lambda s: s[0])}
 
 
 def overlap_scorer(questions: pd.Series, passages: pd.Series) -> pd.Series:
@@ -298,16 +319,30 @@ def overlap_scorer(questions: pd.Series, passages: pd.Series) -> pd.Series:
 def rerank(ranking: DataFrame, questions: DataFrame, segments: DataFrame, k: int, scorer: Callable[[pd.Series, pd.Series], pd.Series] = overlap_scorer, depth: int = RERANK_DEPTH) -> DataFrame:
     """The first ``depth`` spans in the order of a pair scorer (batches of question and passage in, scores out), then the first ``k``.
 
-    Equal scores keep the order of the ranking. A cross-encoder is such a scorer; it runs once a batch, in the Python worker.
+    Equal scores keep the order of the ranking. A cross-encoder is such a scorer; it runs once a batch, in the Python worker. Texts move once, to the
+    task that has the contract; what a question finds there is read there.
     """
 
-    @F.pandas_udf("double")
-    def scored(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for q, p in batches:
-            yield scorer(q, p)
-
-    candidates = attach_segments(ranking.where(F.col("rank") <= depth), segments).join(questions.select("query_id", "question"), "query_id")
-    rows = candidates.withColumn("new_score", F.round(scored("question", passage(F.col("embedding_text"), F.col("text"))), DIGITS))
+    def run(groups: Iterator[Group]) -> Iterator[tuple]:
+        held: list[tuple] = []
+        for (contract,), (segs, ranked, asked) in groups:
+            last, questions = _last_of_span(segs) if ranked else {}, dict(asked)
+            held += [(query, contract, start, end, at, questions[query], (last.get((start, end)) or ("",))[0]) for query, start, end, at in ranked if query in questions]
+            if len(held) >= PAIRS:
+                yield scores(held)
+                held = []
+        if held:
+            yield scores(held)
+
+    def scores(rows: list[tuple]) -> tuple:
+        *columns, question, text = zip(*rows, strict=True)
+        found = scorer(pd.Series(question, dtype="object"), pd.Series(text, dtype="object"))
+        return *columns, [None if x is None or x != x else float(x) for x in found]
+
+    texts = segments.select("contract_id", "position", *SPAN, passage(F.col("embedding_text"), F.col("text")).alias("passage"))
+    parts = [texts, ranking.where(F.col("rank") <= depth).select("contract_id", "query_id", *SPAN, "rank"), questions.select("contract_id", "query_id", "question")]
+    rows = walked(parts, ["contract_id"], run, "query_id string, contract_id string, start_char int, end_char int, rank int, new_score double")
+    rows = rows.withColumn("new_score", F.round("new_score", DIGITS))
     order = Window.partitionBy("query_id", "contract_id").orderBy(F.desc("new_score"), F.col("rank"))
     return rows.withColumn("new_rank", F.row_number().over(order)).where(F.col("new_rank") <= k).select("query_id", "contract_id", *SPAN, F.col("new_score").alias("score"), F.col("new_rank").alias("rank"))
 

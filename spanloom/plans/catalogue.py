@@ -635,7 +635,7 @@ _PROMPT_SQL = f"'CONTRACT EXCERPTS' || chr(10) || '-----------------' || chr(10)
 
 def _chunks(spark: SparkSession, sf: str) -> DataFrame:
     q, s = eval_rows(spark, sf), segments(spark, sf)
-    return q.select("query_id", "question").join(generation.chunks_of(rank.attach_segments(rank.lexical(q, s, K), s)), "query_id")
+    return generation.chunks_for(q, rank.lexical(q, s, K), s)
 
 
 @query(f"{_CHUNK_SQL} SELECT query_id, md5({_PROMPT_SQL} 'Answer using only the excerpts above.') AS prompt_md5 FROM ch JOIN ev USING (query_id)")

@@ -137,3 +137,15 @@ def test_zero_shot_over_three_categories(spark):
     with pytest.raises(ValueError):
         G.zero_shot_run(labelled, {}, backend("ollama", judge))
     assert G.rejudged_path("/x/run.jsonl", backend("groq", judge)) == "/x/run__groq_m"
+
+
+def test_chunks_are_put_together_in_their_contract(spark):
+    from spanloom.operators.rank import attach_segments
+
+    s = spark.createDataFrame([(c, p, 10 * p, 10 * p + 10, f"{c}{p}", f"{c}{p}", f"[window {p}]") for c in "cd" for p in range(3)], "contract_id string, position int, start_char int, end_char int, text string, embedding_text string, header string")
+    r = spark.createDataFrame([(f"{c}|q", c, 10 * p, 10 * p + 10, 3 - p) for c in "cd" for p in range(3)], "query_id string, contract_id string, start_char int, end_char int, rank int")
+    q = spark.createDataFrame([("c|q", "c", "why?"), ("d|q", "d", "how?"), ("d|none", "d", "what?")], "query_id string, contract_id string, question string")
+    got = G.chunks_for(q, r, s)
+    want = q.select("query_id", "question").join(G.chunks_of(attach_segments(r, s)), "query_id").select("query_id", "question", "chunks")
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and got.count() == 2
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1

@@ -151,3 +151,12 @@ def test_term_statistics(spark):
     assert got == {(0, "audit"): (2, 1, 3, True), (0, "books"): (1, 2, 3, True), (1, "books"): (1, 2, 3, False)}
     weights = {(r.position, r.term): r.weight for r in R.tfidf_weights(R.term_stats(segs(spark, "audit audit books", "books", ""), stop=())).collect()}
     assert weights[1, "books"] == 1.0 and abs(weights[0, "audit"] ** 2 + weights[0, "books"] ** 2 - 1) < 1e-12
+
+
+def test_reranking_moves_texts_once(spark):
+    s = segs(spark, "x", "needle", "y", "needle").unionByName(segs(spark, "other", contract="d"))
+    for df in (R.rerank(ranking(spark, "CABD"), asked(spark, "needle"), s, 4), R.attach_segments(ranking(spark, "CABD"), s)):
+        assert "Join" not in plan(df) and "Aggregate" not in plan(df)
+    twice = s.unionByName(spark.createDataFrame([("c", 9, 0, 10, "last", "last", "h")], SEG))
+    got = {r.start_char: (r.header, r.text, r.embedding_text) for r in R.attach_segments(ranking(spark, "AB").withColumn("start_char", F.when(F.col("rank") == 2, 77).otherwise(0)), twice).collect()}
+    assert got == {0: ("h", "last", "last"), 77: ("", "", None)}
