@@ -12,14 +12,15 @@ import math
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from decimal import ROUND_HALF_UP, Decimal
 from functools import partial
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.text import category_of, char_ngrams, clean_query, drawn, passage, stop_words, tokens, word_ngrams
-from spanloom.functions.vectors import dot
 from spanloom.operators.spans import overlap
 from spanloom.operators.walk import Group, walked
 from spanloom.sources.stage import staged
@@ -35,6 +36,8 @@ PAIRS = 256
 DIGITS = 9
 #: Inverse document frequencies are whole numbers in these units: products and sums of them are exact in any order.
 UNIT = 10**9
+#: Records of a contract that one task compares at a time; distances this far apart are in order however they are summed.
+BLOCK, SLACK = 4096, 5e-9
 #: Lexical scores that differ by less than this are ties.
 TIE = 1e-12
 
@@ -206,10 +209,27 @@ def dense(query_vectors: DataFrame, records: DataFrame, k: int, oversample: int
 
     ``query_vectors``: query_id, contract_id, vector; ``records``: contract_id, record_id, start_char, end_char, vector (length one).
     Exact by default; with ``oversample`` only that many times k records are looked at, as an index with a capped answer would.
+
+    A contract of many records is dealt in blocks, each of which meets all questions of its contract, a few at a time; what leaves a block are the
+    records that can be among the first ones, so memory is bounded and no pair is shuffled.
     """
-    pairs = query_vectors.withColumnRenamed("vector", "__q").join(records, "contract_id")
-    scored = pairs.withColumn("distance", F.round(1 - dot(F.col("__q"), F.col("vector")), DIGITS))
-    rows = scored.select("query_id", "contract_id", "record_id", *SPAN, "distance")
+    large = records.groupBy("contract_id").agg(F.count("*").alias("__n")).where(F.col("__n") > BLOCK).select("contract_id", F.ceil(F.col("__n") / BLOCK).cast("int").alias("__blocks"))
+    # At most one row in BLOCK records.
+    large = F.broadcast(staged(large, "blocks"))
+    blocks = F.coalesce("__blocks", F.lit(1))
+    dealt = records.join(large, "contract_id", "left").select("contract_id", F.pmod(F.xxhash64("record_id"), blocks).cast("int").alias("block"), "record_id", *SPAN, "vector")
+    asked = query_vectors.join(large, "contract_id", "left").select("contract_id", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "query_id", "vector")
+    most = oversample * k if oversample else None
+
+    def run(groups: Iterator[Group]) -> Iterator[tuple]:
+        for (contract, _), (own, questions) in groups:
+            for at in range(0, len(questions) if own else 0, 256):
+                for rows in _nearest(own, questions[at : at + 256], k, most):
+                    yield [contract] * len(rows[0]), *rows
+
+    kind = dict(records.dtypes)["record_id"]
+    rows = walked([dealt, asked], ["contract_id", "block"], run, f"contract_id string, query_id string, record_id {kind}, start_char int, end_char int, distance double")
+    rows = rows.withColumn("distance", F.round("distance", DIGITS)).repartition("query_id", "contract_id")
     if oversample:
         seen = Window.partitionBy("query_id", "contract_id").orderBy("distance", "record_id")
         rows = rows.withColumn("__r", F.row_number().over(seen)).where(F.col("__r") <= oversample * k)
@@ -218,6 +238,55 @@ def dense(query_vectors: DataFrame, records: DataFrame, k: int, oversample: int
     return spans.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "contract_id", *SPAN, F.col("best.distance").alias("distance"), "rank")
 
 
+def _rounded(x: float) -> Decimal:
+    return Decimal(repr(x)).quantize(Decimal(1).scaleb(-DIGITS), ROUND_HALF_UP)
+
+
+def _nearest(records: list[tuple], questions: list[tuple], k: int, most: int | None) -> Iterator[tuple]:
+    """Columns query, record, start, end, distance of what a block has for each question: the first ``most`` records, or the best one of the first ``k`` spans.
+
+    A product of matrices finds those that are near enough, give or take what the order of summing changes; their distances are then summed one
+    number after the other, as ``dot`` does.
+    """
+    sizes = Counter(len(r[3]) for r in records if r[3] is not None)
+    for size in sizes:
+        own = [r for r in records if r[3] is not None and len(r[3]) == size and None not in r[3]]
+        asked = [q for q in questions if q[1] is not None and len(q[1]) == size and None not in q[1]]
+        if not own or not asked:
+            continue
+        have, want = np.array([r[3] for r in own], dtype=np.float64), np.array([q[1] for q in asked], dtype=np.float64)
+        spans: dict[tuple, int] = {}
+        of_span = np.array([spans.setdefault((r[1], r[2]), len(spans)) for r in own])
+        keep = np.ones((len(asked), len(own)), dtype=bool)
+        if (most or k) < len(own if most else spans):
+            near = 1 - want @ have.T
+            if most:
+                least = np.partition(near, most - 1, axis=1)[:, most - 1]
+            else:
+                by_span = np.argsort(of_span, kind="stable")
+                starts = np.searchsorted(of_span[by_span], np.arange(len(spans)))
+                least = np.partition(np.minimum.reduceat(near[:, by_span], starts, axis=1), k - 1, axis=1)[:, k - 1]
+            # Also what is no number stays, as the plain sum decides about it.
+            keep = ~(near > (least + SLACK)[:, None])
+        for (query, _), vector, mine in zip(asked, want, keep, strict=True):
+            at = np.flatnonzero(mine)
+            distance = (1 - np.add.accumulate(have[at] * vector, axis=1)[:, -1]).tolist() if size else [1.0] * len(at)
+            rows = [(*own[i][:3], d) for i, d in zip(at.tolist(), distance, strict=True)]
+            if len(rows) > (most or k):
+                digits = {d: _rounded(d) if math.isfinite(d) else Decimal("Infinity") for d in set(distance)}
+                rows.sort(key=lambda r: (digits[r[3]], r[0]))
+                if most:
+                    rows = rows[:most]
+                else:
+                    first: dict[tuple, tuple] = {}
+                    for r in rows:
+                        if first.setdefault(r[1:3], r) is r and len(first) == k:
+                            break
+                    rows = list(first.values())
+            if rows:
+                yield [query] * len(rows), *zip(*rows, strict=True)
+
+
 def fuse(rankings: list[tuple[DataFrame, float]], k: int, depth: int = DEPTH) -> DataFrame:
     """Reciprocal rank fusion of (ranking, weight) pairs; the first one is the lexical one, which breaks ties, then the order of first sight.
 

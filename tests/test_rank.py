@@ -160,3 +160,27 @@ def test_reranking_moves_texts_once(spark):
     twice = s.unionByName(spark.createDataFrame([("c", 9, 0, 10, "last", "last", "h")], SEG))
     got = {r.start_char: (r.header, r.text, r.embedding_text) for r in R.attach_segments(ranking(spark, "AB").withColumn("start_char", F.when(F.col("rank") == 2, 77).otherwise(0)), twice).collect()}
     assert got == {0: ("h", "last", "last"), 77: ("", "", None)}
+
+
+@pytest.mark.parametrize("oversample", [None, 1, 3])
+def test_dense_in_blocks_is_the_plain_ranking(spark, monkeypatch, oversample):
+    import random
+
+    monkeypatch.setattr(R, "BLOCK", 40)
+    r = random.Random(4)
+    vectors = [[r.gauss(0, 1) for _ in range(8)] for _ in range(60)]
+    # Contract c has many records, with copies and equal distances among them; d has few.
+    own = [("c" if i < 300 else "d", i * 7 % 307, 10 * (i // 3), 10 * (i // 3) + 10, vectors[i % 60 if i % 5 else 0]) for i in range(307)]
+    asked = [(f"{c}{i}", c, vectors[i] if i else [0.0] * 8) for c in "cd" for i in range(4)]
+    rec = spark.createDataFrame(own, "contract_id string, record_id int, start_char int, end_char int, vector array<double>").repartition(3)
+    q = spark.createDataFrame(asked, "query_id string, contract_id string, vector array<double>")
+    df = R.dense(q, rec, 5, oversample)
+    want = []
+    for query, contract, v in asked:
+        found = sorted((round(1 - sum(a * b for a, b in zip(v, x, strict=True)), 9), i, s) for c, i, s, _, x in own if c == contract)
+        spans = {}
+        for d, _, s in found[: 5 * oversample if oversample else None]:
+            spans.setdefault(s, d)
+        want += [(query, s, at) for at, s in enumerate(spans, 1) if at <= 5]
+    assert sorted((x.query_id, x.start_char, x.rank) for x in df.collect()) == sorted(want)
+    assert "CartesianProduct" not in plan(df) and "zip_with" not in plan(df)
