@@ -184,3 +184,17 @@ def test_dense_in_blocks_is_the_plain_ranking(spark, monkeypatch, oversample):
         want += [(query, s, at) for at, s in enumerate(spans, 1) if at <= 5]
     assert sorted((x.query_id, x.start_char, x.rank) for x in df.collect()) == sorted(want)
     assert "CartesianProduct" not in plan(df) and "zip_with" not in plan(df)
+
+
+def test_stacks_share_their_rankings(spark, monkeypatch):
+    s = segs(spark, "audit rights", "governing law", "parties named here", "other matters")
+    q, walks, own = asked(spark, probe("Parties"), "audit"), [], R.lexicals
+    monkeypatch.setattr(R, "lexicals", lambda *a, **b: walks.append(a) or own(*a, **b))
+    names = ("tfidf", "hybrid_bigram_prior", "hybrid_bigram", "hybrid_bigram_prior_cleanq", "hybrid_char_prior")
+
+    def ranked(together):
+        stacks = R.variants(lambda q, s, k, w: R.random_ranking(q, s, k, seed=1), spark.createDataFrame([("Parties", 1)], "category string, n_lead int"), together=together)
+        return {n: sorted((r.query_id, r.rank, r.start_char) for r in stacks[n](q, s, 2).collect()) for n in names}
+
+    each = ranked(False)
+    assert len(walks) == 4 and ranked(True) == each and len(walks) == 5
