@@ -89,3 +89,20 @@ def test_mean_reciprocal_rank_is_exact_in_any_order(spark, parts):
             got = metrics.rank_summary(first)
             assert got.collect()[0].mrr == mrr
             assert got.select(F.round("mrr", 6).alias("mrr")).collect()[0].mrr == (0.989363 if ranks in (half_step, half_step[::-1]) else mrr)
+
+
+def test_union_is_one_sorted_stream(spark):
+    import random
+
+    r = random.Random(5)
+    own = [(r.choice("abcd"), s, s + r.randrange(0, 9)) for s in (r.randrange(500) for _ in range(600))]
+    df = spans.union_rows(spark.createDataFrame(own, "k string, start int, end int"), "k")
+    want = []
+    for k, s, e in sorted(own):
+        if want and want[-1][0] == k and s <= want[-1][2]:
+            want[-1] = (k, want[-1][1], max(e, want[-1][2]))
+        else:
+            want.append((k, s, e))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Aggregate" not in plan and plan.count("Exchange") == 1
+    assert sorted(map(tuple, df.collect())) == want
