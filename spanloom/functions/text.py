@@ -154,7 +154,7 @@ def passage(embedding_text: Column, text: Column, size: int = 1400) -> Column:
 
 def index_text(embedding_text: Column, text: Column, header: Column) -> Column:
     """What is indexed of a segment: its embedding text, else its text, else its header; null if all are blank."""
-    return F.coalesce(non_empty(strip(embedding_text)), non_empty(strip(text)), non_empty(strip(header)))
+    return F.coalesce(*[let(strip(x), non_empty) for x in (embedding_text, text, header)])
 
 
 def drawn(*parts: Column | str) -> Column:

@@ -60,3 +60,16 @@ def test_clients_are_registered_and_fail_as_rows(tmp_path, monkeypatch):
     assert clients.load_env(tmp_path / "env") and os.environ.pop("SPANLOOM_TEST_A") == "1"
     with pytest.raises(ValueError):
         clients.load_env("env")
+
+
+def test_stand_in_encoder_counts_words_like_a_plain_loop():
+    import zlib
+
+    texts = ["a b a", "", "Größe größe x", *(f"w{i} w{i % 7} w{i % 3}" for i in range(2500))]
+    want = np.zeros((len(texts), 384), dtype=np.float32)
+    for i, t in enumerate(texts):
+        for w in t.lower().split():
+            h = zlib.crc32(w.encode())
+            want[i, h % 384] += 1.0 if h >> 31 else -1.0
+    got = embed.hashed_encoder()(texts)
+    assert got.dtype == np.float32 and (got == want).all() and embed.hashed_encoder()([]).shape == (0, 384)
