@@ -36,6 +36,8 @@ PAIRS = 256
 DIGITS = 9
 #: Inverse document frequencies are whole numbers in these units: products and sums of them are exact in any order.
 UNIT = 10**9
+#: Cells of a contract's table of segments by n-grams; larger ones are counted without a table.
+DENSE_CELLS = 10_000_000
 #: Records of a contract that one task compares at a time; distances this far apart are in order however they are summed.
 BLOCK, SLACK = 4096, 5e-9
 #: Lexical scores that differ by less than this are ties.
@@ -123,6 +125,19 @@ def term_stats(segments: DataFrame, ngrams: tuple[int, int] = (1, 1), analyzer:
     return walked([texts], ["contract_id"], run, "contract_id string, position int, term string, tf long, df long, n long, first boolean, length double")
 
 
+def count_weights(rows: DataFrame, stop: tuple[str, ...] | None = None) -> DataFrame:
+    """Rows ``id, term, weight`` of texts (``id, text``): counts of words, of length one for each id. The texts of an id are counted together, where they are."""
+    own = _stop(stop)
+
+    def run(groups: Iterator[Group]) -> Iterator[tuple]:
+        for (key,), (texts,) in groups:
+            counts = Counter(w for (text,) in texts for w in grams(text, (1, 1), "word", own, {}))
+            length = math.sqrt(float(sum(c * c for c in counts.values())))
+            yield [key] * len(counts), list(counts), [c / length for c in counts.values()]
+
+    return walked([rows.select("id", spaced(F.col("text")).alias("words"))], ["id"], run, "id string, term string, weight double")
+
+
 def tfidf_weights(stats: DataFrame) -> DataFrame:
     """Rows ``contract_id, position, term, weight``: raw counts times smoothed idf, of length one for each segment."""
     return stats.select("contract_id", "position", "term", (F.col("tf") * smooth_idf(F.col("df"), F.col("n")) / F.col("length")).alias("weight"))
@@ -164,13 +179,95 @@ def _ranked(segments: list[tuple], asked: list[tuple], k: int, terms: Callable[[
             if both:
                 score = float(both) / (length * math.sqrt(float(lengths[place[0]])))
                 scored.append((math.floor(score / TIE + 0.5), place, score))
-        scored.sort(reverse=True)
-        found = {place for _, place, _ in scored}
-        rows = [(place, score) for _, place, score in scored[:k]]
-        if len(rows) < k:
-            rows += [(place, 0.0) for place in last_first if place not in found][: k - len(rows)]
-        for at, ((_, start, end), score) in enumerate(rows, 1):
-            yield query, start, end, score, at
+        yield from _first(query, scored, last_first, k)
+
+
+def _first(query: str, scored: list[tuple], last_first: list[tuple], k: int) -> Iterator[tuple]:
+    """The first ``k`` rows of a question: by level and position, the latest first, then the places that share no term with it."""
+    scored.sort(reverse=True)
+    found = {place for _, place, _ in scored}
+    rows = [(place, score) for _, place, score in scored[:k]]
+    if len(rows) < k:
+        rows += [(place, 0.0) for place in last_first if place not in found][: k - len(rows)]
+    for at, ((_, start, end), score) in enumerate(rows, 1):
+        yield query, start, end, score, at
+
+
+class _CharTerms:
+    """Character n-grams as numbers. A word is cut once, and its numbers are kept; between contracts all are forgotten beyond 400,000 n-grams."""
+
+    def __init__(self, ngrams: tuple[int, int]) -> None:
+        self.ngrams = ngrams
+        self.forget()
+
+    def forget(self) -> None:
+        self.number, self.words, self.known = {}, {}, {}
+        self.slot = np.full(1 << 16, -1, dtype=np.int64)
+
+    def of(self, text: str) -> list[np.ndarray]:
+        out = []
+        for w in text.split(" ") if text else ():
+            own = self.words.get(w)
+            if own is None:
+                number = self.number
+                own = self.words[w] = np.array([number.setdefault(g, len(number)) for g in grams(w, self.ngrams, "char_wb", frozenset(), {})], dtype=np.int64)
+            out.append(own)
+        return out
+
+    def ranked(self, segments: list[tuple], asked: list[tuple], k: int) -> Iterator[tuple]:
+        """The rows of ``_ranked``, from a table of segments by n-grams. Sums are grouped by document frequency and stay whole numbers of any size."""
+        if len(self.number) > 400_000:
+            self.forget()
+        n, parts = len(segments), {}
+        for position, start, end, text in segments:
+            parts.setdefault((position, start, end), []).extend(self.of(text))
+        questions: dict[str, list[np.ndarray]] = {}
+        for query, text in asked:
+            questions.setdefault(query, []).extend(self.of(text))
+        none = np.zeros(0, dtype=np.int64)
+        places, own = list(parts), [np.concatenate(p) if p else none for p in parts.values()]
+        flat = np.concatenate([none, *own])
+        if len(self.slot) < len(self.number):
+            self.slot = np.full(2 * len(self.number), -1, dtype=np.int64)
+        # One place of each n-gram stands for it.
+        self.slot[flat] = np.arange(len(flat))
+        one = self.slot[flat]
+        chosen = one == np.arange(len(flat))
+        vocabulary = flat[chosen]
+        if len(places) * len(vocabulary) > DENSE_CELLS:
+            self.slot[vocabulary] = -1
+            yield from _ranked(segments, asked, k, partial(grams, ngrams=self.ngrams, analyzer="char_wb", stop=frozenset(), known=self.known))
+            return
+        here = (np.cumsum(chosen) - 1)[one]
+        self.slot[vocabulary] = np.arange(len(vocabulary))
+        tf = np.bincount(np.repeat(np.arange(len(own)), [len(x) for x in own]) * len(vocabulary) + here, minlength=len(own) * len(vocabulary)).reshape(len(own), len(vocabulary))
+        df = (tf > 0).sum(axis=0)
+        idf2 = [0, *(math.floor(_idf(d, n) * UNIT + 0.5) ** 2 for d in range(1, len(own) + 1))]
+        by_position: dict[int, int] = {}
+        for place, counts in zip(places, tf, strict=True):
+            at = np.flatnonzero(counts)
+            alike = np.bincount(df[at], weights=counts[at] * counts[at], minlength=1).tolist()
+            by_position[place[0]] = by_position.get(place[0], 0) + sum(int(m) * u for m, u in zip(alike, idf2, strict=False) if m)
+        lengths = [math.sqrt(float(by_position[place[0]])) for place in places]
+        last_first = sorted(places, reverse=len(vocabulary) > 0)
+        for query, terms in questions.items():
+            at = self.slot[np.concatenate([none, *terms])]
+            weight = np.bincount(at[at >= 0], minlength=len(vocabulary))
+            at = np.flatnonzero(weight)
+            scored = []
+            if len(at):
+                at = at[np.argsort(df[at], kind="stable")]
+                dfs = df[at]
+                starts = np.flatnonzero(np.diff(dfs, prepend=-1))
+                units = [idf2[d] for d in dfs[starts].tolist()]
+                length = math.sqrt(float(sum(m * u for m, u in zip(np.add.reduceat(weight[at] * weight[at], starts).tolist(), units, strict=True))))
+                for place, own_length, sums in zip(places, lengths, np.add.reduceat(tf[:, at] * weight[at], starts, axis=1).tolist(), strict=True):
+                    both = sum(m * u for m, u in zip(sums, units, strict=True) if m)
+                    if both:
+                        score = float(both) / (length * own_length)
+                        scored.append((math.floor(score / TIE + 0.5), place, score))
+            yield from _first(query, scored, last_first, k)
+        self.slot[vocabulary] = -1
 
 
 def lexicals(questions: DataFrame, segments: DataFrame, k: int, kinds: dict[str, Lexicon], stop: tuple[str, ...] | None = None) -> DataFrame:
@@ -184,13 +281,17 @@ def lexicals(questions: DataFrame, segments: DataFrame, k: int, kinds: dict[str,
     own, todo = _stop(stop), [(name, x, analyzers.index(x.analyzer), i) for i, (name, x) in enumerate(kinds.items())]
 
     def run(groups: Iterator[Group]) -> Iterator[tuple]:
-        known: dict[str, dict[str, list[str]]] = {name: {} for name, *_ in todo}
+        chars = {name: _CharTerms(x.ngrams) for name, x, *_ in todo if x.analyzer == "char_wb"}
         for (contract,), (segs, asked) in groups:
             rows: list[tuple] = []
             if segs and asked:
                 for name, x, text, question in todo:
-                    terms = partial(grams, ngrams=x.ngrams, analyzer=x.analyzer, stop=own, known=known[name])
-                    rows += [(name, query, contract, *r) for query, *r in _ranked([(*s[:3], s[3 + text]) for s in segs], [(a[0], a[1 + question]) for a in asked], k, terms)]
+                    mine, wanted = [(*s[:3], s[3 + text]) for s in segs], [(a[0], a[1 + question]) for a in asked]
+                    if name in chars:
+                        ranked = chars[name].ranked(mine, wanted, k)
+                    else:
+                        ranked = _ranked(mine, wanted, k, partial(grams, ngrams=x.ngrams, analyzer=x.analyzer, stop=own, known={}))
+                    rows += [(name, query, contract, *r) for query, *r in ranked]
             if rows:
                 yield tuple(zip(*rows, strict=True))
 

@@ -555,14 +555,8 @@ a AS (SELECT id, term, count(*) AS c FROM dt GROUP BY ALL), an AS (SELECT id, te
 b AS (SELECT id, term, count(*) AS c FROM it GROUP BY ALL), bn AS (SELECT id, term, c / sqrt(sum(c * c) OVER (PARTITION BY id)) AS w FROM b)
 SELECT an.id, bn.id AS category, round(sum(an.w * bn.w), 6) AS similarity FROM an JOIN bn USING (term) GROUP BY ALL""")
 def definition_similarity(spark: SparkSession, sf: str) -> DataFrame:
-    def weights(rows: DataFrame) -> DataFrame:
-        from pyspark.sql import Window
-
-        terms = rows.select("id", F.explode(rank.terms_of(F.col("text"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("c"))
-        return terms.select("id", "term", (F.col("c") / F.sqrt(F.sum(F.col("c") * F.col("c")).over(Window.partitionBy("id")))).alias("weight"))
-
-    docs = weights(table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), "text"))
-    items = weights(table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("id"), "text")).withColumnRenamed("id", "category")
+    docs = rank.count_weights(table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), "text"))
+    items = rank.count_weights(table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("id"), "text")).withColumnRenamed("id", "category")
     return _rounded(classify.similarity(docs, items))
 
 

@@ -198,3 +198,18 @@ def test_stacks_share_their_rankings(spark, monkeypatch):
 
     each = ranked(False)
     assert len(walks) == 4 and ranked(True) == each and len(walks) == 5
+
+
+def test_character_tables_agree_with_plain_counts(monkeypatch):
+    import random
+    from functools import partial
+
+    r = random.Random(3)
+    words = ["".join(r.choice("abcä") for _ in range(r.randrange(1, 9))) for _ in range(60)]
+    table, terms = R._CharTerms((3, 5)), partial(R.grams, ngrams=(3, 5), analyzer="char_wb", stop=frozenset(), known={})
+    for cells in (10**7, 0):
+        monkeypatch.setattr(R, "DENSE_CELLS", cells)
+        for n in (1, 2, 7, 30):
+            texts = [(i, 10 * i, 10 * i + 10, " ".join(r.choices(words, k=r.randrange(0, 40)))) for i in range(n)]
+            asked = [(f"q{i}", " ".join(r.choices(words, k=i))) for i in range(5)] + [("q3", "abc")]
+            assert list(table.ranked(texts, asked, 6)) == list(R._ranked(texts, asked, 6, terms)) and set(table.slot.tolist()) == {-1}
