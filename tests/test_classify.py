@@ -105,3 +105,7 @@ def test_vocabulary_holds_all_terms_in_range(spark):
 def test_marks_of_any_script_are_taken_off(spark):
     df = spark.createDataFrame([("Čapek e\u0301tude ÅNGSTRÖM ńame ά й naïve ﬁne",)], "text string")
     assert df.select(C.unaccented(F.col("text"))).collect()[0][0] == "capek etude angstrom name α и naive ﬁne"
+
+
+def test_few_sums_reach_the_driver():
+    assert [C.aggregation_depth(n) for n in (1, 8, 48, 100, 600)] == [2, 2, 3, 3, 4]
