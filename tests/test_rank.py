@@ -213,3 +213,10 @@ def test_character_tables_agree_with_plain_counts(monkeypatch):
             texts = [(i, 10 * i, 10 * i + 10, " ".join(r.choices(words, k=r.randrange(0, 40)))) for i in range(n)]
             asked = [(f"q{i}", " ".join(r.choices(words, k=i))) for i in range(5)] + [("q3", "abc")]
             assert list(table.ranked(texts, asked, 6)) == list(R._ranked(texts, asked, 6, terms)) and set(table.slot.tolist()) == {-1}
+
+
+def test_words_of_an_id_are_counted_where_they_are(spark):
+    df = R.count_weights(spark.createDataFrame([("a", "law law state"), ("a", "state law"), ("b", None), ("c", "cat")], "id string, text string"), stop=())
+    text = plan(df)
+    assert text.count("Exchange hashpartitioning") == 1 and "Window" not in text and "Aggregate" not in text
+    assert {(r.id, r.term): round(r.weight, 9) for r in df.collect()} == {("a", "law"): round(3 / 13**0.5, 9), ("a", "state"): round(2 / 13**0.5, 9), ("c", "cat"): 1.0}
